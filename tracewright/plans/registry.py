@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import features  # noqa: F401  modules register their queries when they are read
+from .catalog import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
