@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, graph, typology  # noqa: F401  modules register their queries when they are read
+from . import features, graph, relational, typology  # noqa: F401  modules register their queries when they are read
 from .catalog import QUERIES, SQL
 
 
