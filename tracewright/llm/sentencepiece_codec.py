@@ -39,7 +39,27 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Piece kinds in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 400_000
+#: Words, and pairs of pieces, in a generation of what is remembered.
+REMEMBERED = 100_000
+
+
+class Remembered(dict):
+    """The last entries used: a full generation is kept as the old one, and what is asked of it moves up."""
+
+    old: dict = {}
+
+    def find(self, key):
+        found = self.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value):
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def fields(data: bytes):
@@ -129,8 +149,8 @@ class Codec:
         self.least = min((s for s, k in zip(v.scores, v.kinds) if k == NORMAL), default=0.0) - 10
         spanning = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile(r"(?s).+" if spanning else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known = Remembered()
+        self.pairs = Remembered()
         raw = [b"" if k == CONTROL else "⁇".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds)]
         self.raw = np.array(raw + [b""], object)
 
@@ -143,14 +163,9 @@ class Codec:
         return np.frombuffer(b"".join(map(self.of_word, self.words(self.normalise(text)))), np.int32)
 
     def of_word(self, word: str) -> bytes:
-        found = self.known.get(word)
+        found = self.known.find(word)
         if found is None:
-            found = np.array(self.segment(word), np.int32).tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(self.pairs) >= 4 * REMEMBERED:
-                self.pairs.clear()
-            self.known[word] = found
+            found = self.known.keep(word, np.array(self.segment(word), np.int32).tobytes())
         return found
 
     def segment(self, word: str) -> list[int]:
@@ -193,10 +208,11 @@ class Codec:
 
     def joins(self, a: int, b: int) -> bool:
         """Whether merging gives a and then b (a = -1: b alone)."""
-        found = self.pairs.get((a, b))
+        pair = a * len(self.v.pieces) + b
+        found = self.pairs.find(pair)
         if found is None:
             left = self.v.pieces[a] if a >= 0 else ""
-            found = self.pairs[a, b] = self.merge(left + self.v.pieces[b]) == [self.v.pieces[x] for x in (a, b) if x >= 0]
+            found = self.pairs.keep(pair, self.merge(left + self.v.pieces[b]) == [self.v.pieces[x] for x in (a, b) if x >= 0])
         return found
 
     def merge(self, text: str) -> list[str]:
@@ -224,7 +240,7 @@ class Codec:
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as array<int>; a column of that name is replaced."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
@@ -236,7 +252,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids``; null entries and ids outside the vocabulary are skipped."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
 
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
