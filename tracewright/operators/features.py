@@ -17,8 +17,14 @@ from ..functions.stats import entropy, equal_width_bin, gini, is_round, sample_s
 from .incidence import counterparty, incidence
 
 EPS = 1e-10
-ME = W.partitionBy("address")
-BY_TIME = ME.orderBy("timestamp", "hash")
+
+
+def me():
+    return W.partitionBy("address")
+
+
+def by_time():
+    return me().orderBy("timestamp", "hash")
 
 
 def hours(*which: int) -> Column:
@@ -28,8 +34,8 @@ def hours(*which: int) -> Column:
 def with_gaps(inc: DataFrame) -> DataFrame:
     return inc.withColumns(
         {
-            "gap": F.col("timestamp") - F.lag("timestamp").over(BY_TIME),
-            "block_gap": F.col("block_number") - F.lag("block_number").over(BY_TIME),
+            "gap": F.col("timestamp") - F.lag("timestamp").over(by_time()),
+            "block_gap": F.col("block_number") - F.lag("block_number").over(by_time()),
         }
     )
 
@@ -65,9 +71,9 @@ def economic(inc: DataFrame) -> DataFrame:
     rows = inc.where("value_eth is not null").withColumns(
         {
             "incoming": F.col("to_addr") == F.col("address"),
-            "q25": F.percentile("value_eth", 0.25).over(ME),
-            "q75": F.percentile("value_eth", 0.75).over(ME),
-            "bin": equal_width_bin(F.col("value_eth"), F.min("value_eth").over(ME), F.max("value_eth").over(ME)),
+            "q25": F.percentile("value_eth", 0.25).over(me()),
+            "q75": F.percentile("value_eth", 0.75).over(me()),
+            "bin": equal_width_bin(F.col("value_eth"), F.min("value_eth").over(me()), F.max("value_eth").over(me())),
         }
     )
     v = F.col("value_eth")
@@ -104,8 +110,8 @@ def risk(inc: DataFrame) -> DataFrame:
     rows = with_gaps(inc).withColumns(
         {
             "other": counterparty(),
-            "g_avg": F.avg("gas_price_gwei").over(ME), "g_std": F.stddev_samp("gas_price_gwei").over(ME),
-            "v_avg": F.avg("value_eth").over(ME), "v_std": F.stddev_samp("value_eth").over(ME),
+            "g_avg": F.avg("gas_price_gwei").over(me()), "g_std": F.stddev_samp("gas_price_gwei").over(me()),
+            "v_avg": F.avg("value_eth").over(me()), "v_std": F.stddev_samp("value_eth").over(me()),
         }
     )
     tenth = F.round(v, 9).cast("decimal(38,9)") % F.lit("0.1").cast("decimal(2,1)") == 0
@@ -127,7 +133,7 @@ def risk(inc: DataFrame) -> DataFrame:
 
 
 def operational(inc: DataFrame) -> DataFrame:
-    rows = with_gaps(inc).withColumn("q80", F.percentile("gas_price", 0.8).over(ME))
+    rows = with_gaps(inc).withColumn("q80", F.percentile("gas_price", 0.8).over(me()))
     n = F.count("*")
     many = lambda x: F.when(n > 1, F.coalesce(x, F.lit(0.0))).otherwise(0.0)
     steady = lambda x: 1 / (1 + F.stddev_pop(x) / (F.avg(x) + EPS))
@@ -148,7 +154,7 @@ def operational(inc: DataFrame) -> DataFrame:
 
 
 def contextual(inc: DataFrame) -> DataFrame:
-    rows = inc.withColumn("q70", F.percentile("gas_price", 0.7).over(ME))
+    rows = inc.withColumn("q70", F.percentile("gas_price", 0.7).over(me()))
     week, n = F.col("day_of_week") < 5, F.count("*")
     office = share(F.col("hour_of_day").between(9, 17) & week)
     congested = F.when(n > 1, share(F.col("gas_price") > F.col("q70"))).otherwise(0.0)
