@@ -47,6 +47,16 @@ def test_sentencepiece_agrees_with_the_library(docs, vocabulary):
         assert codec.decode(codec.encode(t)) == t.replace("▁", " ")
 
 
+@pytest.mark.parametrize("algorithm", [sentencepiece_codec.BPE, sentencepiece_codec.UNIGRAM])
+def test_words_side_by_side_agree_with_words_alone(vocabulary, algorithm):
+    v = sentencepiece_codec.Vocabulary(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, algorithm)
+    codec = v.codec()
+    words = ["▁the", "▁", "▁▁▁", "x", "", "▁naïve😀s", "\x00\U0010ffff", "▁" + "ab" * 40, "▁na\nïve", "漢字かな", "▁" + "word" * 500]
+    ids, starts, counts = codec.segment_all(words)
+    for w, at, n in zip(words, starts, counts):
+        assert ids[at : at + n].tolist() == codec.segment(w), w
+
+
 def test_unigram_viterbi_agrees_with_all_segmentations():
     rng = np.random.default_rng(4)
     pieces = ["<unk>", *sorted({"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(25)} | {"a", "b"})]
@@ -62,6 +72,7 @@ def test_unigram_viterbi_agrees_with_all_segmentations():
     for _ in range(60):
         t = "".join(rng.choice(list("abcd"), rng.integers(1, 10)))
         assert sum(v.scores[i] if i else codec.least for i in codec.segment(t)) == pytest.approx(best(t))
+        assert codec.encode(t).tolist() == codec.segment(t)
 
 
 def test_sentencepiece_odd_rows(spark, vocabulary):

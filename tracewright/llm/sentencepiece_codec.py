@@ -13,8 +13,9 @@ off backwards.
   gives.  The pass over the automaton is the same.
 
 Words are segmented apart wherever no piece spans a word's end, which is
-checked when the vocabulary is read; results for words are remembered in a
-bounded table.  Characters without a piece become byte pieces, or the unknown
+checked when the vocabulary is read; the distinct short words of a batch are
+read side by side, as arrays.  Which pieces may meet is remembered in a table
+of fixed size.  Characters without a piece become byte pieces, or the unknown
 piece where the model has none.
 
 Defined results: a null text gives null ids, an empty text an empty list; null
@@ -25,8 +26,9 @@ becomes a space; unknown pieces become U+2047).
 
 from __future__ import annotations
 
+import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,27 +41,14 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Piece kinds in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words, and pairs of pieces, in a generation of what is remembered.
-REMEMBERED = 100_000
-
-
-class Remembered(dict):
-    """The last entries used: a full generation is kept as the old one, and what is asked of it moves up."""
-
-    old: dict = {}
-
-    def find(self, key):
-        found = self.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.keep(key, found)
-        return found
-
-    def keep(self, key, value):
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: Longer words are segmented one by one, shorter ones side by side, so many at a time.
+SIDE_BY_SIDE, AT_ONCE = 64, 1 << 14
+#: Slots (a power of two) of the table that remembers which pieces may meet.
+SLOTS = 1 << 19
+#: An odd constant near 2^64 over the golden ratio, to spread keys over a table.
+SPREAD = 0x9E3779B97F4A7C15
+#: What a position holds: no hypothesis; a start or a character without a piece; else a piece.
+NONE, BARE = -2, -1
 
 
 def fields(data: bytes):
@@ -98,15 +87,17 @@ class Vocabulary:
     algorithm: int
     dummy_prefix: bool = True
     squeeze: bool = False
-    _codec: object = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_codec": None}
 
     def codec(self) -> "Codec":
-        if self._codec is None:
-            self._codec = Codec(self)
-        return self._codec
+        """The codec of this vocabulary; a worker keeps the last one from task to task."""
+        key = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.algorithm, self.dummy_prefix, self.squeeze)).encode()).digest()
+        if key not in _CODECS:
+            _CODECS.clear()
+            _CODECS[key] = Codec(self)
+        return _CODECS[key]
+
+
+_CODECS: dict[bytes, "Codec"] = {}
 
 
 def read_model(path: str) -> Vocabulary:
@@ -134,23 +125,97 @@ def parse_model(data: bytes) -> Vocabulary:
     return Vocabulary(pieces, scores, kinds, algorithm, dummy, squeeze)
 
 
+def slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where each key belongs in a table of ``size`` slots, a power of two."""
+    return (keys.astype(np.uint64) * np.uint64(SPREAD) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+class Automaton:
+    """Aho-Corasick over the pieces, as arrays: a step moves many readers by a character each.
+
+    ``out`` names the longest piece that ends in a state (as that piece's own
+    state, 0 for none), ``link`` the next shorter one.
+    """
+
+    def __init__(self, pieces: dict[str, int]):
+        edges: dict[tuple[int, str], int] = {}
+        parent, depth, piece = [(0, "")], [0], [-1]
+        for text, i in pieces.items():
+            state = 0
+            for c in text:
+                if (state, c) not in edges:
+                    edges[state, c] = len(depth)
+                    parent.append((state, c))
+                    piece.append(-1)
+                    depth.append(depth[state] + 1)
+                state = edges[state, c]
+            piece[state] = i
+        n = len(depth)
+        fail, out, link = [0] * n, [0] * n, [0] * n
+        for state in sorted(range(1, n), key=depth.__getitem__):
+            above, c = parent[state]
+            if above:
+                at = fail[above]
+                while at and (at, c) not in edges:
+                    at = fail[at]
+                fail[state] = edges.get((at, c), 0)
+            link[state] = out[fail[state]]
+            out[state] = state if piece[state] >= 0 else link[state]
+        self.single = edges, fail, out, link, piece, depth
+        self.fail, self.out, self.link, self.piece, self.depth = (np.array(x, np.int32) for x in (fail, out, link, piece, depth))
+        letters = sorted({c for _, c in edges})
+        self.alphabet = np.zeros(0x110000, np.int32)
+        self.alphabet[[ord(c) for c in letters]] = range(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        size = 1 << (4 * len(edges) + 4).bit_length()
+        self.keys, self.to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        keys = np.array([s * self.width + self.alphabet[ord(c)] for s, c in edges], np.int64)
+        for key, slot, to in zip(keys.tolist(), slots(keys, size).tolist(), edges.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (size - 1)
+            self.keys[slot], self.to[slot] = key, to
+
+    def goto(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The child of each state by a letter, 0 where there is none."""
+        key = state.astype(np.int64) * self.width + letter
+        slot = slots(key, len(self.keys))
+        there = self.keys[slot]
+        found = np.where(there == key, self.to[slot], 0)
+        left = np.flatnonzero((there != key) & (there >= 0))
+        while left.size:
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[left]]
+            same = there == key[left]
+            found[left[same]] = self.to[slot[left[same]]]
+            left = left[~same & (there >= 0)]
+        return found
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next state: by goto where there is one, else on from the failure link."""
+        new = self.goto(state, letter)
+        left = np.flatnonzero((new == 0) & (state > 0))
+        at = state[left]
+        while left.size:
+            at = self.fail[at]
+            new[left] = found = self.goto(at, letter[left])
+            more = (found == 0) & (at > 0)
+            left, at = left[more], at[more]
+        return new
+
+
 class Codec:
     def __init__(self, v: Vocabulary):
-        import ahocorasick
-
         self.v = v
         self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k in (NORMAL, USER)}
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
+        self.scores = np.array(v.scores)
+        self.automaton = Automaton(self.ids)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.least = min((s for s, k in zip(v.scores, v.kinds) if k == NORMAL), default=0.0) - 10
         spanning = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile(r"(?s).+" if spanning else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known = Remembered()
-        self.pairs = Remembered()
+        self.met = np.full(SLOTS, -1, np.int64)
+        self.merges: dict[int, tuple | None] = {}
         raw = [b"" if k == CONTROL else "⁇".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds)]
         self.raw = np.array(raw + [b""], object)
 
@@ -160,72 +225,206 @@ class Codec:
         return MARK * (self.v.dummy_prefix and bool(text)) + text.replace(" ", MARK)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.of_word, self.words(self.normalise(text)))), np.int32)
-
-    def of_word(self, word: str) -> bytes:
-        found = self.known.find(word)
-        if found is None:
-            found = self.known.keep(word, np.array(self.segment(word), np.int32).tobytes())
-        return found
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; every distinct word of the batch is segmented once."""
+        split = [self.words(self.normalise(t)) for t in texts]
+        ends = np.cumsum([len(x) for x in split])
+        codes, distinct = pd.factorize(np.array([w for x in split for w in x] or [""], object))
+        del split
+        if not ends.size or not ends[-1]:
+            return [np.zeros(0, np.int32) for _ in texts]
+        ids, starts, counts = self.segment_all(distinct.tolist())
+        n = counts[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        return np.split(flat, upto[ends[:-1]])
+
+    def segment_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' ids, end to end, and where each word's ids start and how many there are."""
+        lengths = np.array([len(w) for w in words])
+        starts, counts, parts, upto = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
+        apart = np.flatnonzero(lengths > SIDE_BY_SIDE).tolist()
+        order = np.argsort(-lengths, kind="stable")[len(apart) : np.count_nonzero(lengths)]
+        for k in range(0, len(order), AT_ONCE):
+            rows = order[k : k + AT_ONCE]
+            ids, n = self.side_by_side([words[i] for i in rows], lengths[rows])
+            starts[rows], counts[rows] = upto + np.cumsum(n) - n, n
+            parts.append(ids)
+            upto += len(ids)
+        for i in apart:
+            ids = np.array(self.segment(words[i]), np.int32)
+            starts[i], counts[i] = upto, len(ids)
+            parts.append(ids)
+            upto += len(ids)
+        return np.concatenate(parts), starts, counts
+
+    def side_by_side(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts of words sorted by length, longest first."""
+        a = self.automaton
+        characters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = a.alphabet[characters]
+        begin = np.cumsum(lengths) - lengths
+        piece = np.full((lengths[0] + 1, len(words)), NONE, np.int32)
+        size = np.ones(piece.shape, np.int32)
+        best = None if self.v.algorithm == BPE else np.full(piece.shape, -1e300)
+        piece[0] = BARE
+        if best is not None:
+            best[0] = 0.0
+        state = np.zeros(len(words), np.int32)
+        for at in range(1, lengths[0] + 1):
+            m = np.searchsorted(-lengths, -at, side="right")
+            state = a.step(state[:m], letters[begin[:m] + at - 1])
+            single, out = np.zeros(m, bool), a.out[state]
+            rows = np.flatnonzero(out)
+            out = out[rows]
+            while rows.size:  # the output links, longest piece first
+                i, long = a.piece[out], a.depth[out]
+                single[rows[long == 1]] = True
+                if best is None:
+                    before = piece[at - long, rows]
+                    good = before != NONE
+                    good[good] = self.meet(before[good], i[good])
+                    more = ~good
+                else:
+                    sums = best[at - long, rows] + self.scores[i]
+                    good = sums > best[at, rows]
+                    best[at, rows[good]] = sums[good]
+                    more = np.ones(len(rows), bool)
+                piece[at, rows[good]], size[at, rows[good]] = i[good], long[good]
+                out = a.link[out]
+                more &= out > 0
+                rows, out = rows[more], out[more]
+            bare = ~single & (piece[at, :m] == NONE)
+            if best is not None:
+                sums = best[at - 1, :m] + self.least
+                bare = ~single & (sums > best[at, :m])
+                best[at, :m][bare] = sums[bare]
+            piece[at, :m][bare], size[at, :m][bare] = BARE, 1
+        rows, at = np.arange(len(words)), lengths.copy()
+        n, backwards = np.zeros(len(words), np.int64), []
+        while rows.size:
+            ids = piece[at[rows], rows]
+            bare = ids < 0  # kept as its character until the end
+            ids[bare] = -1 - characters[begin[rows[bare]] + at[rows[bare]] - 1].astype(np.int32)
+            backwards.append(np.full(len(words), -1, np.int32))
+            backwards[-1][rows] = ids
+            n[rows] += 1
+            at[rows] -= size[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        turn = n[:, None] - 1 - np.arange(len(backwards))
+        ids = np.take_along_axis(np.array(backwards).T, np.maximum(turn, 0), 1)[turn >= 0]
+        if (bare := np.flatnonzero(ids < 0)).size:
+            pieces = [self.fall_back(chr(-1 - x)) for x in ids[bare].tolist()]
+            widths = np.ones(len(ids), np.int64)
+            widths[bare] = [len(x) for x in pieces]
+            n = np.bincount(np.repeat(np.arange(len(words)), n), widths, len(words)).astype(np.int64)
+            is_bare = np.zeros(len(ids), bool)
+            is_bare[bare] = True
+            ids = np.repeat(ids, widths)
+            ids[np.repeat(is_bare, widths)] = [i for x in pieces for i in x]
+        return ids, n
 
     def segment(self, word: str) -> list[int]:
-        ends: list[list] = [[] for _ in range(len(word) + 1)]
-        for end, piece in self.automaton.iter(word):
-            ends[end + 1].append(piece)
-        back = (self.relax_bpe if self.v.algorithm == BPE else self.relax_unigram)(word, ends)
+        """The same pass over one word of any length."""
+        edges, fail, outs, link, piece, depth = self.automaton.single
+        state, back, best = 0, [(BARE, 0)], [0.0]
+        for at in range(1, len(word) + 1):
+            while state and (state, word[at - 1]) not in edges:
+                state = fail[state]
+            state = edges.get((state, word[at - 1]), 0)
+            single, out, here, top = False, outs[state], (NONE, 1), -1e300
+            while out:
+                i, size = piece[out], depth[out]
+                single |= size == 1
+                if self.v.algorithm == BPE:
+                    before = back[at - size][0]
+                    if before != NONE and self.meets(before, i):
+                        here = (i, size)
+                        break
+                elif (s := best[at - size] + self.v.scores[i]) > top:
+                    here, top = (i, size), s
+                out = link[out]
+            if not single and (here[0] == NONE if self.v.algorithm == BPE else best[at - 1] + self.least > top):
+                here, top = (BARE, 1), best[at - 1] + self.least
+            back.append(here)
+            best.append(top)
         out, at = [], len(word)
         while at:
             i, size = back[at]
-            out.append(i if i >= 0 else word[at - size : at])
+            out.append([i] if i >= 0 else self.fall_back(word[at - size : at]))
             at -= size
-        return [i for x in reversed(out) for i in ([x] if isinstance(x, int) else self.fall_back(x))]
-
-    def relax_unigram(self, word: str, ends: list) -> list:
-        best, back = [0.0] + [-1e300] * len(word), [None] * (len(word) + 1)
-        for at in range(1, len(word) + 1):
-            single = False
-            for i, size in ends[at]:  # longest first, so that of equal sums the longer last piece stays
-                single |= size == 1
-                if (s := best[at - size] + self.v.scores[i]) > best[at]:
-                    best[at], back[at] = s, (i, size)
-            if not single and (s := best[at - 1] + self.least) > best[at]:
-                best[at], back[at] = s, (-1, 1)
-        return back
-
-    def relax_bpe(self, word: str, ends: list) -> list:
-        back: list = [None] * (len(word) + 1)
-        for at in range(1, len(word) + 1):
-            single = False
-            for i, size in ends[at]:
-                single |= size == 1
-                before = back[at - size][0] if at > size and back[at - size] else -1
-                if (at == size or back[at - size]) and self.joins(before, i):
-                    back[at] = (i, size)
-                    break
-            if back[at] is None and not single:
-                back[at] = (-1, 1)
-        return back
-
-    def joins(self, a: int, b: int) -> bool:
-        """Whether merging gives a and then b (a = -1: b alone)."""
-        pair = a * len(self.v.pieces) + b
-        found = self.pairs.find(pair)
-        if found is None:
-            left = self.v.pieces[a] if a >= 0 else ""
-            found = self.pairs.keep(pair, self.merge(left + self.v.pieces[b]) == [self.v.pieces[x] for x in (a, b) if x >= 0])
-        return found
-
-    def merge(self, text: str) -> list[str]:
-        parts = list(text)
+        return [i for x in reversed(out) for i in x]
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging gives a and then b (a = BARE: b alone), for each pair."""
+        key = (a.astype(np.int64) + 1) * len(self.v.pieces) + b
+        slot = slots(key, SLOTS)
+        held = self.met[slot]
+        for k in np.flatnonzero(held >> 1 != key).tolist():
+            there = self.met[slot[k]]
+            held[k] = there if there >> 1 == key[k] else 2 * key[k] + self.apart(int(a[k]), int(b[k]))
+            self.met[slot[k]] = held[k]
+        return (held & 1).astype(bool)
+
+    def meets(self, a: int, b: int) -> bool:
+        """As :meth:`meet`, for one pair."""
+        key = (a + 1) * len(self.v.pieces) + b
+        slot = (key * SPREAD & 0xFFFFFFFFFFFFFFFF) >> (65 - SLOTS.bit_length())
+        held = int(self.met[slot])
+        if held >> 1 != key:
+            self.met[slot] = held = 2 * key + self.apart(a, b)
+        return bool(held & 1)
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two pieces stay apart while each of them is merged from its characters.
+
+        The merges of each run in their own order and the better of the two
+        next ones comes first; the pieces join if the merge over their border
+        ever comes before both.  Of equal merges the leftmost comes first.
+        """
+        right = self.steps(b)
+        if right is None or a < 0:
+            return right is not None
+        left = self.steps(a)
+        if left is None:
+            return False
+        (mine, last), (others, first) = (left[0], left[1]), (right[0], right[2])
+        j = k = 0
         while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.v.scores[i] > best):
-                    best, at = self.v.scores[i], k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            over = self.ids.get(last[j] + first[k])
+            cross = -np.inf if over is None else self.v.scores[over]
+            sa = mine[j] if j < len(mine) else -np.inf
+            sb = others[k] if k < len(others) else -np.inf
+            if over is not None and cross > sa and cross >= sb:
+                return False
+            if sa == sb == -np.inf:
+                return True
+            if sa >= sb:
+                j += 1
+            else:
+                k += 1
+
+    def steps(self, i: int) -> tuple | None:
+        """How piece i is merged: scores, and the last and first part before each merge and at the end; None if it isn't."""
+        if i not in self.merges:
+            parts = list(self.v.pieces[i])
+            scores, last, first = [], [parts[-1]], [parts[0]]
+            while True:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    x = self.ids.get(parts[k] + parts[k + 1])
+                    if x is not None and (best is None or self.v.scores[x] > best):
+                        best, at = self.v.scores[x], k
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                scores.append(best)
+                last.append(parts[-1])
+                first.append(parts[0])
+            self.merges[i] = (scores, last, first) if len(parts) == 1 else None
+        return self.merges[i]
 
     def fall_back(self, character: str) -> list[int]:
         if not self.bytes:
@@ -245,7 +444,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         codec = vocabulary.codec()
-        return pd.Series([None if t is None else codec.encode(t) for t in texts], dtype=object)
+        ids = iter(codec.encode_all([t for t in texts if t is not None]))
+        return pd.Series([None if t is None else next(ids) for t in texts], dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
 
