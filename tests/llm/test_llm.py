@@ -78,6 +78,7 @@ def test_unigram_viterbi_agrees_with_all_segmentations():
 def test_sentencepiece_odd_rows(spark, vocabulary):
     df = odd(spark)
     got = sentencepiece_codec.decode(sentencepiece_codec.encode(df, vocabulary), vocabulary).select("text", "ids", "decoded").collect()
+    assert sentencepiece_codec.round_trip(df, vocabulary).select("text", "ids", "decoded").collect() == got
     for r in got:
         assert (r.ids is None) == (r.text is None) and r.decoded == r.text
 

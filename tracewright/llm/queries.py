@@ -16,7 +16,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     """Encode and decode every text: id count, digest of the ids, digest of the decoded text."""
     vocabulary = sentencepiece_codec.read_model(model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary), vocabulary)
+    coded = sentencepiece_codec.round_trip(docs, vocabulary)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),

@@ -460,3 +460,22 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str =
         return pd.Series([None if x is None else codec.decode(np.array([-1 if i is None or i != i else i for i in x] if x.dtype.kind not in "iu" else x, np.int64)) for x in lists], dtype=object)
 
     return df.withColumn(into, run(F.col(ids)))
+
+
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """As :func:`decode` after :func:`encode`, each batch encoded once.
+
+    Two such functions in a row are run in one Python step that would encode
+    the texts for each of its outputs.
+    """
+    bounded_batches(df.sparkSession, "4m")
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codec = vocabulary.codec()
+        found = iter(codec.encode_all([t for t in texts if t is not None]))
+        lists = [None if t is None else next(found) for t in texts]
+        return pd.DataFrame({"ids": pd.Series(lists, dtype=object), "decoded": pd.Series([None if x is None else codec.decode(x) for x in lists], dtype=object)})
+
+    coded = run(F.col(text))
+    return df.withColumns({ids: coded["ids"], into: coded["decoded"]})
