@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold
+from .common import bounded_batches, fold, give_back
 
 WINDOW = 192
 FILTERS = 8
@@ -195,6 +195,7 @@ def predictor(net: ByteNet):
                 lang[group] = np.array(net.languages, object)[best]
                 score[group] = np.clip(mean[np.arange(len(group)), best], 0, 1)
                 group, size = [], 0
+        give_back()
         return pd.DataFrame({"lang": lang, "score": score})
 
     return predict
@@ -202,7 +203,7 @@ def predictor(net: ByteNet):
 
 def identify(documents: DataFrame, net: ByteNet, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``documents`` with two more columns; columns of these names are replaced."""
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, "4m")
     letters: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     found = predictor(net)(F.when(letters, F.col(text)))
     keep = [F.col(f"`{c}`") for c in documents.columns if c not in into]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, give_back
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 3
@@ -41,12 +41,12 @@ STEP = 12
 TOLERANCE = 1e-7
 #: Representatives of one bucket that meet in one task: twice so many at most.
 CHUNK = 512
-PAIRS_AT_ONCE = 400_000
+PAIRS_AT_ONCE = 100_000
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -141,7 +141,7 @@ def _groups(frames, columns: list[str]):
     for pdf in frames:
         rest.append(pdf)
         size += len(pdf)
-        if size < 4 * CHUNK:
+        if size < 2 * CHUNK:
             continue
         pdf = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
         keys = pdf[columns].to_numpy()
@@ -176,8 +176,8 @@ def prune(frames):
             if ii:
                 i, j = np.concatenate(ii), np.concatenate(jj)
                 ok = promising(sig, band, i, j)
-                kept_i.append(i[ok])
-                kept_j.append(j[ok])
+                kept_i.append(i[ok].astype(np.int32))
+                kept_j.append(j[ok].astype(np.int32))
             ii, jj, waiting = [], [], 0
 
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -207,6 +207,8 @@ def prune(frames):
         out = pdf.loc[rows, [*GROUP, "key"]].reset_index(drop=True)
         out["peers"] = pd.Series(peers, dtype=object)
         yield out
+        del out, peers, i, j, kept_i, kept_j, order, sig
+        give_back()
 
 
 def verify(frames, threshold: float = THRESHOLD):
@@ -245,6 +247,8 @@ def verify(frames, threshold: float = THRESHOLD):
                         b.append(keys[j])
         linked = np.flatnonzero(links)
         yield pd.DataFrame({"a": a + [keys[k] for k in linked], "b": b + [None] * len(linked), "links": [0] * len(a) + links[linked].tolist()})
+        del sets, keys, peers, pdf
+        give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,6 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
 @F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]))
 def _signed(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
+    give_back()
     return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "sig": pd.Series([signature(s) if len(s) else None for s in sets], dtype=object)})
 
 
@@ -283,7 +288,7 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     ``n_links`` counts the other distinct texts at the threshold or above;
     ``rep_id`` is the least id with the same text, ``n_copies`` their number.
     """
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, "4m")
     rows = documents.select(F.col(id_column).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("text"))
     signed = cut(rows.select("id", "key", _signed("text").alias("s")).select("id", "key", "s.n", "s.sig"))
     reps = cut(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))

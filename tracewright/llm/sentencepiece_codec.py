@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -239,6 +239,7 @@ class Codec:
         n = counts[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
         flat = ids[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        del codes, distinct, ids, starts, counts, n
         return np.split(flat, upto[ends[:-1]])
 
     def segment_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,6 +446,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
     def run(texts: pd.Series) -> pd.Series:
         codec = vocabulary.codec()
         ids = iter(codec.encode_all([t for t in texts if t is not None]))
+        give_back()
         return pd.Series([None if t is None else next(ids) for t in texts], dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
@@ -474,6 +476,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: s
     def run(texts: pd.Series) -> pd.DataFrame:
         codec = vocabulary.codec()
         found = iter(codec.encode_all([t for t in texts if t is not None]))
+        give_back()
         lists = [None if t is None else next(found) for t in texts]
         return pd.DataFrame({"ids": pd.Series(lists, dtype=object), "decoded": pd.Series([None if x is None else codec.decode(x) for x in lists], dtype=object)})
 
