@@ -52,3 +52,13 @@ def cosine(a: Column, b: Column) -> Column:
     """Of two arrays; null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
+def smoothed_entropy(rows: DataFrame, key: list[str], of: str, bins: int, into: str) -> DataFrame:
+    """Natural entropy over a fixed number of bins, one added to each count.
+
+    Empty bins add 1 * ln 1 = 0 to the sum, so only occupied ones are needed.
+    """
+    counts = rows.where(F.col(of).isNotNull()).groupBy(*key, of).agg((F.count("*") + 1).alias("n"))
+    total = F.sum(F.col("n") - 1) + bins
+    return counts.groupBy(*key).agg((F.ln(total) - F.sum(F.col("n") * F.ln("n")) / total).alias(into))
