@@ -107,7 +107,7 @@ def size_profile(assignment: DataFrame, large: float = 0.1) -> DataFrame:
         q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.stddev_pop(n).alias("std_size"), F.skewness(n).alias("size_skewness"), F.kurtosis(n).alias("size_kurtosis"),
         F.count_if(n == 1).alias("singletons"), F.coalesce(F.stddev_pop(n) / F.avg(n), F.lit(0.0)).alias("size_variation"),
     )
-    return out.withColumns({"singleton_ratio": F.col("singletons") / F.col("clusters"), "giant": F.col("max_size") > large * F.col("members")})
+    return out.withColumns({"singleton_ratio": F.try_divide(F.col("singletons").cast("double"), F.col("clusters")), "giant": F.col("max_size") > large * F.col("members")})
 
 
 def checks(assignment: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     hx, hy = (F.ln("total") - c(f"log_{k}") / c("total") for k in "xy")
     mutual = F.ln("total") + (c("log") - c("log_x") - c("log_y")) / c("total")
     nmi = F.when((hx + hy) == 0, 1.0).otherwise(2 * mutual / (hx + hy))
-    alike = F.least("k_x", "k_y") / F.greatest("k_x", "k_y")
+    alike = F.try_divide(F.least("k_x", "k_y").cast("double"), F.greatest("k_x", "k_y"))
     out = t.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), nmi.alias("nmi"), alike.alias("count_similarity"))
     return out.withColumn("overall", 0.4 * F.col("ari") + 0.4 * F.col("nmi") + 0.2 * F.col("count_similarity"))
 

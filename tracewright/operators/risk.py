@@ -60,10 +60,14 @@ def final_scores(evidence: DataFrame, kinds: list[str] | None = None) -> DataFra
 
 
 def propagate(scores: DataFrame, assignment: DataFrame) -> DataFrame:
-    """A cluster's highest score, given to all of its members."""
+    """A cluster's highest score, given to all of its members.
+
+    An aggregate that joins back, so that a large cluster is not one task.
+    """
     joined = scores.join(assignment.select("address", "cluster_id"), "address", "left")
-    top = F.max("final_score").over(W.partitionBy("cluster_id"))
-    return joined.withColumn("cluster_score", F.when(F.col("cluster_id").isNotNull(), top).otherwise(F.col("final_score")))
+    top = joined.where("cluster_id is not null").groupBy("cluster_id").agg(F.max("final_score").alias("__top"))
+    out = joined.join(top, "cluster_id", "left").withColumn("cluster_score", F.when(F.col("cluster_id").isNotNull(), F.col("__top")).otherwise(F.col("final_score")))
+    return out.select(*joined.columns, "cluster_score")
 
 
 def best_assignment(assignments: DataFrame) -> DataFrame:
