@@ -2,7 +2,7 @@
 
 import random
 
-from tracewright.plans import registry, typology
+from tracewright.plans import graph, registry, typology
 
 QUERIES = registry.queries()
 
@@ -47,3 +47,14 @@ def test_coactivity_takes_every_address(spark, monkeypatch):
                 expected[a, b] = round(share, 6)
     got = {(r["a"], r["b"]): r["coactivity"] for r in QUERIES["j14_coactivity"](spark, "").collect()}
     assert got == expected and any("mix" in a for a, _ in got)
+
+
+def test_components_have_every_node(spark, monkeypatch):
+    pairs = [("0xc1", "0xs1"), ("0xc2", "0xs1"), ("0xs1", "0xn1"), ("0xc3", "0xs2"), ("0xs2", "0xn2"), ("0xc4", "0xs3"), ("0xc4", "0xs2")]
+    given(spark, monkeypatch, graph, [(f"0x{i}", i, a, b, 1.0, 21000) for i, (a, b) in enumerate(pairs)], "order_ledger")
+    group = {x: {x} for p in pairs for x in p}
+    for a, b in pairs:
+        both = group[a] | group[b]
+        group.update({x: both for x in both})
+    got = {r["node"]: r["component"] for r in QUERIES["l3_connected_components"](spark, "").collect()}
+    assert got == {x: min(g) for x, g in group.items()}

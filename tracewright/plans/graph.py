@@ -70,8 +70,7 @@ def f3_reach_two_hops(spark, sf_dir):
 @query(f"{OR}, {PAIRS}, {BOTH}, reach(a, z) AS (SELECT u, u FROM b UNION SELECT reach.a, b.v FROM reach JOIN b ON b.u = reach.z) SELECT a AS node, min(z) AS component FROM reach WHERE a LIKE '0xn%' OR a LIKE '0xs%' GROUP BY a")
 def l3_connected_components(spark, sf_dir):
     e = graph.edges(order_ledger(spark, sf_dir))
-    out = graph.components(graph.undirected(e))
-    return out.where("node like '0xn%' or node like '0xs%'")
+    return graph.components(graph.undirected(e))
 
 
 @query(f"{EV}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d(source, node, k) AS (SELECT node, node, 0 FROM n UNION SELECT d.source, e.dst, k + 1 FROM d JOIN e ON e.src = d.node AND e.src <> e.dst WHERE k < 10), m AS (SELECT DISTINCT source, node FROM d) "
