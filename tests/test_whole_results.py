@@ -58,3 +58,22 @@ def test_components_have_every_node(spark, monkeypatch):
         group.update({x: both for x in both})
     got = {r["node"]: r["component"] for r in QUERIES["l3_connected_components"](spark, "").collect()}
     assert got == {x: min(g) for x, g in group.items()}
+
+
+def ring(n, tail=0):
+    names = [f"0x{k:040}" for k in range(n + tail)]
+    return [(f"0x{k}", k, a, b, 1.0, 21000) for k, (a, b) in enumerate([*zip(names, names[1:n] + names[:1]), *zip(names[n - 1 :], names[n:])])]
+
+
+def test_strong_components_and_closeness_go_as_far_as_the_graph(spark, monkeypatch):
+    n, tail = 25, 3
+    data = ring(n, tail)
+    given(spark, monkeypatch, graph, data)
+    names = sorted({x for r in data for x in r[2:4]})
+    got = {r["node"]: (r["scc"], r["size"]) for r in QUERIES["p5_strong_components"](spark, "").collect()}
+    assert got == {x: (names[0], n) if k < n else (x, 1) for k, x in enumerate(names)}
+    close = {r["node"]: r["closeness_centrality"] for r in QUERIES["f3_closeness"](spark, "").collect()}
+    for k, x in enumerate(names):
+        # steps to x from the ring, and from the tail before it
+        steps = list(range(1, n)) if k < n else [k - n + 1 + i for i in range(n)] + list(range(1, k - n + 1))
+        assert close[x] == round(len(steps) / sum(steps) * len(steps) / (n + tail - 1), 6)

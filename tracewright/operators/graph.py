@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -115,30 +116,32 @@ def clustering(pairs: DataFrame) -> DataFrame:
     return d.join(triangles(pairs), "node", "left").select("node", "d", F.coalesce("triangles", F.lit(0)).alias("triangles"), c.alias("clustering_coefficient"))
 
 
-def distances(e: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """(source, node, distance) along directed edges, breadth first, up to ``most`` steps."""
+def distances(e: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, distance) along directed edges, breadth first, until nothing new is reached or up to ``most`` steps."""
     step = cut(e.where("src <> dst").select("src", "dst").distinct())
     found = frontier = cut(sources.select(F.col("node").alias("source"), "node").withColumn("distance", F.lit(0)))
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         new = frontier.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(found, ["source", "node"], "left_anti").withColumn("distance", F.lit(k)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if k % 10 == 0:
+            found = cut(found.coalesce(step.sparkSession.sparkContext.defaultParallelism))
     return found
 
 
-def closeness(e: DataFrame, most: int = 10) -> DataFrame:
+def closeness(e: DataFrame) -> DataFrame:
     """Inward closeness with the Wasserman-Faust factor."""
-    d = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes(e), most)
+    d = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes(e))
     n = nodes(e).count()
     reach, total = F.count("*") - 1, F.sum("distance")
     return d.groupBy(F.col("source").alias("node")).agg(F.when(total > 0, reach / total * reach / max(n - 1, 1)).otherwise(0.0).alias("closeness_centrality"))
 
 
-def strong_components(e: DataFrame, most: int = 10) -> DataFrame:
-    """(node, scc): pairs that reach each other within ``most`` steps; the least of them names the component."""
-    d = cut(distances(e, nodes(e), most).select("source", "node"))
+def strong_components(e: DataFrame) -> DataFrame:
+    """(node, scc): pairs that reach each other; the least of them names the component."""
+    d = cut(distances(e, nodes(e)).select("source", "node"))
     mutual = d.join(d.select(F.col("node").alias("source"), F.col("source").alias("node")), ["source", "node"])
     return mutual.groupBy("source").agg(F.min("node").alias("scc"), F.count("*").alias("size")).withColumnRenamed("source", "node")
 
