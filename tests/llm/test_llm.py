@@ -337,6 +337,13 @@ def test_quality_scores_agree_with_exploded_counts(spark, docs):
         assert r.score == pytest.approx(np.mean(sums[r.doc_id]) if r.doc_id in sums else 0, abs=1e-5)
 
 
+def test_quality_ratios_count_every_trusted_document(spark):
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("all of word "), F.col("id").cast("string")).alias("text"))
+    lab = docs.select("doc_id", F.lit(1).alias("quality"))
+    # all are trusted, so both sides have the same counts
+    assert set(quality_llr.log_ratios(docs, lab.unionByName(lab.limit(50).withColumn("quality", F.lit(0)))).first().ratios) == {0.0}
+
+
 def test_pipeline_runs_and_keeps_columns(spark, docs):
     import corpus_pipeline
 

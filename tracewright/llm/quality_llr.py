@@ -7,8 +7,8 @@ the map tasks): a document's score is the sum of log(trusted / raw) over its
 n-grams, divided by their number.  Every document whose score is ``THRESHOLD``
 or more is kept; nothing is drawn at random.
 
-Trusted documents are at most ``TRUSTED`` rows whose label is 1, by hash of
-their id; without any, all scores are 0 and the fixed counts decide alone.
+Trusted documents are all whose label is 1; without any, all scores are 0 and
+the fixed counts decide alone.  An id labelled both ways counts as trusted.
 
 Repeated three-word windows are found inside a row, from the sorted hashes of
 its windows, so no word leaves its row.  Windows are told apart by 64-bit
@@ -24,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, bounded_ids
+from .common import SPACE, WORD
 
 BUCKETS = 1 << 13
-TRUSTED = 20_000
 THRESHOLD = -0.15
 #: Up to so many distinct repeated windows are looked up one by one.
 FEW = 48
@@ -81,12 +80,12 @@ def grams(w: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(one, two)
 
 
-def log_ratios(documents: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
+def log_ratios(documents: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = BUCKETS) -> DataFrame:
     """One row, ``ratios``: array<float> of log(trusted / raw) by bucket; empty without trusted rows."""
-    ids = bounded_ids(labels, label, trusted, 1, 1).where("y = 1").select(F.col("doc_id").alias("trusted_id"))
+    ids = labels.where(F.col("doc_id").isNotNull() & (F.col(label).cast("int") == 1)).select(F.col("doc_id").alias("trusted_id")).distinct()
     sums = (
         documents.select("doc_id", "text")
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")  # at most ``trusted`` rows
+        .join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")  # the ids grow with the input
         .select(F.col("trusted_id").isNotNull().alias("good"), words(F.col("text")).alias("w"))
         .select("good", F.explode(grams(F.col("w"), buckets)).alias("bucket"))
         .groupBy("bucket")
