@@ -206,6 +206,18 @@ def test_secrets_found_by_each_kind():
     assert secret_scan.spans(constant) == [(5, "literal", 18)]
 
 
+@pytest.mark.parametrize("name", ['config["api"]["key"]', "api__key", "pass_word", "client.private$key"])
+def test_secrets_of_names_in_parts(name):
+    text = f'{name} = "Zx81kQpp20vLm4Ta"'
+    assert secret_scan.sensitivity(name) > 0 and secret_scan.spans(text) == [(len(name) + 4, "literal", len(text) - 1)]
+
+
+def test_secrets_of_a_constant_with_many_literals():
+    parts = [f"Qz{i:03}xW7kLp" for i in range(100)]
+    text = "k = " + " + ".join(f'"{p}"' for p in parts) + "\n" + "k = k + k\n" * 40 + "api_token = k\n"
+    assert [text[s:e] for s, kind, e in secret_scan.spans(text) if kind == "literal"] == parts
+
+
 def test_secret_query_and_redaction(spark):
     texts = [t for t, _ in SECRETS] + ODD[:7]
     df = secret_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string"))

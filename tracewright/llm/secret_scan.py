@@ -36,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes a name sensitive, and how much.
 NAMES = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "authkey": 0.9, "auth": 0.6, "bearer": 0.8}
 THRESHOLD = 1.3
-HINT = re.compile(r"passw|pwd|passphrase|secret|token|api[-_.]?key|credential|private[-_.]?key|access[-_.]?key|auth|bearer", re.IGNORECASE | re.ASCII)
+#: A sensitive name leaves one of these in its text's letters, however its parts are joined.
+HINTS = [n.encode() for n in NAMES if not any(m in n for m in NAMES if m != n)]
+OTHERS = bytes(b for b in range(256) if not chr(b).isascii() or not chr(b).isalpha())
 LITERAL = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
 PAIR = re.compile(rf"""(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*|\[["'][\w.-]+["']\])*)["']?[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*(?P<value>(?:{LITERAL}|[^\s"'`,;(){{}}\[\]+]+)(?:[ \t]*\+[ \t]*(?:{LITERAL}|[\w.$]+))*)""", re.ASCII)
 PART = re.compile(rf"{LITERAL}|[^\s+]+")
@@ -58,31 +60,43 @@ def strength(literal: str) -> float:
     return min(1.0, 0.2 * classes + 0.3 * min(1.0, len(set(literal)) / 10) + 0.2 * (len(literal) >= 16)) * (0.3 if " " in literal else 1.0)
 
 
+def hinted(text: str) -> bool:
+    """False only where no name in ``text`` can be sensitive."""
+    letters = text.encode("utf-8", "replace").translate(None, OTHERS).lower()
+    return any(h in letters for h in HINTS)
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name."""
-    if not HINT.search(text):
+    if not hinted(text):
         return []
-    constants: dict[str, list] = {}
-    reached: dict[tuple[int, int], float] = {}
+    constants: dict[str, int] = {}
+    #: By assignment: its name's weight, its literals, and the earlier assignments that its value names.
+    weights: list[float] = []
+    own: list[list[tuple[int, int]]] = []
+    named: list[list[int]] = []
     for m in PAIR.finditer(text):
-        own: list[tuple[int, int, bool]] = []
+        found, earlier = [], []
         for p in PART.finditer(text, m.start("value"), m.end("value")):
             s, e = p.span()
             if text[s] in "\"'`":
-                own.append((s + 1, e - 1, True))
+                found.append((s + 1, e - 1))
             elif NAME.match(p[0]) and p[0] in constants:
-                own += constants[p[0]]
-            else:
-                own.append((s, e, False))
+                earlier.append(constants[p[0]])
+            elif re.search(r"[0-9]", p[0]) and e - s >= 8:
+                found.append((s, e))
         name = m["name"]
-        constants[name] = constants[name.rpartition(".")[2]] = own[:64]
-        if (weight := sensitivity(name)) > 0:
-            for s, e, quoted in own:
-                value = text[s:e]
-                if quoted or re.search(r"[0-9]", value) and len(value) >= 8:
-                    total = weight + strength(value)
-                    if strength(value) > 0 and total >= THRESHOLD:
-                        reached[s, e] = max(total, reached.get((s, e), 0))
+        constants[name] = constants[name.rpartition(".")[2]] = len(weights)
+        weights.append(sensitivity(name))
+        own.append(found)
+        named.append(earlier)
+    reached = []
+    # a value names earlier assignments only: backwards, each has its whole weight before it hands it on
+    for k in reversed(range(len(weights))):
+        for j in named[k]:
+            weights[j] = max(weights[j], weights[k])
+        if weights[k] > 0:
+            reached += [(s, e) for s, e in own[k] if (value := strength(text[s:e])) > 0 and weights[k] + value >= THRESHOLD]
     return sorted(reached)
 
 
