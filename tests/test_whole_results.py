@@ -77,3 +77,20 @@ def test_strong_components_and_closeness_go_as_far_as_the_graph(spark, monkeypat
         # steps to x from the ring, and from the tail before it
         steps = list(range(1, n)) if k < n else [k - n + 1 + i for i in range(n)] + list(range(1, k - n + 1))
         assert close[x] == round(len(steps) / sum(steps) * len(steps) / (n + tail - 1), 6)
+
+
+def test_pagerank_has_converged(spark, monkeypatch):
+    data = ring(12, 8)[1:] + [("0xz", 99, "0x" + "5".zfill(40), "0xhub", 3.0, 21000)]
+    given(spark, monkeypatch, graph, data)
+    names = sorted({x for r in data for x in r[2:4]})
+    out = {x: [(r[3], r[4]) for r in data if r[2] == x] for x in names}
+    rank = {x: 1 / len(names) for x in names}
+    for _ in range(500):
+        lost = sum(rank[x] for x in names if not out[x])
+        new = {x: (0.15 + 0.85 * lost) / len(names) for x in names}
+        for x in names:
+            for y, w in out[x]:
+                new[y] += 0.85 * rank[x] * w / sum(v for _, v in out[x])
+        rank = new
+    got = {r["node"]: r["pagerank_score"] for r in QUERIES["f3_pagerank"](spark, "").collect()}
+    assert set(got) == set(names) and all(abs(got[x] - rank[x]) < 1e-6 for x in names)

@@ -64,21 +64,22 @@ def components(pairs: DataFrame) -> DataFrame:
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def pagerank(e: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Weighted by value; dangling mass is spread over all nodes; a fixed number of rounds."""
+def pagerank(e: DataFrame, tolerance: float = 1e-8, damping: float = 0.85) -> DataFrame:
+    """Weighted by value; dangling mass is spread over all nodes; until a round changes all ranks together by less than ``tolerance``."""
     e = e.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     share = cut(e.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("src"))).select("src", "dst", "p"))
     all_nodes = cut(nodes(share))
     n = all_nodes.count()
     rank = all_nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
+    change = 1.0 if n else 0.0
+    while change >= tolerance:  # a round leaves at most ``damping`` of it
         sent = share.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("s"))
         # what does not arrive anywhere is the dangling nodes' mass: one number
         got = all_nodes.join(sent, "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("s"))
         lost = 1 - (sent.agg(F.sum("s")).first()[0] or 0.0)
-        rank = got.select("node", ((1 - damping) / n + damping * (F.col("s") + lost / n)).alias("r"))
-        if k % 5 == 4:
-            rank = cut(rank)
+        now = cut(got.select("node", ((1 - damping) / n + damping * (F.col("s") + lost / n)).alias("r")))
+        change = now.join(rank.withColumnRenamed("r", "before"), "node").agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0]
+        rank = now
     return rank.withColumnRenamed("r", "pagerank_score")
 
 

@@ -43,7 +43,7 @@ def _unrolled_pagerank(rounds: int) -> str:
 
 @query(f"{EV}, {_unrolled_pagerank(6)} SELECT node, round(r, 6) + 0.0 AS pagerank_score FROM r6")
 def f3_pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(_edges(spark, sf_dir), rounds=6))
+    return rounded(graph.pagerank(_edges(spark, sf_dir)))
 
 
 @query()
