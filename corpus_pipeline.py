@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import language_id, mixing, ngram_join, secret_scan, sentencepiece_codec
-from tracewright.llm.common import shared_dir, table
+from tracewright.llm.common import WORD, shared_dir, table
 from tracewright.llm.queries import TOKENIZER
 
 #: Documents whose language is less certain than this are rejected.
@@ -30,12 +30,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class; of repeated rows, one."""
+    """Keeps one document of each class, that with the least id; of equal texts, one.  Texts without words are classes of their own."""
     columns = docs.columns
-    classes = ngram_join.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(classes.distinct(), docs["doc_id"] == F.col("__id"), "left_semi")
-    unnamed = docs.where("doc_id is null")  # a row without an id has no class to lose to
-    return kept.dropDuplicates(["doc_id"]).unionByName(unnamed).select(*[F.col(f"`{c}`") for c in columns])
+    first = ngram_join.firsts(docs).select(F.col("key").alias("__first"), F.col("id").alias("__id"))
+    keyed = docs.withColumn("__key", ngram_join.text_key())
+    kept = keyed.join(first, (F.col("__key") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    wordless = keyed.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return kept.dropDuplicates(["__key"]).unionByName(wordless).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,6 +356,16 @@ def test_quality_ratios_count_every_trusted_document(spark):
     assert set(quality_llr.log_ratios(docs, lab.unionByName(lab.limit(50).withColumn("quality", F.lit(0)))).first().ratios) == {0.0}
 
 
+def test_pipeline_keeps_one_row_of_each_class_whatever_its_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = a + " more"
+    rows = [(1, a), (None, a), (None, near), (None, b), (None, b), (2, near), (2, c), (3, ""), (None, None), (None, " ")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (None, b), (2, c), (3, ""), (None, None), (None, " ")], key=repr)
+
+
 def test_pipeline_runs_and_keeps_columns(spark, docs):
     import corpus_pipeline
 

@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -282,14 +282,14 @@ def _shingled(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
 
-def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``documents``: doc_id, class_id, n_links, rep_id, n_copies.
+def text_key(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
-    ``n_links`` counts the other distinct texts at the threshold or above;
-    ``rep_id`` is the least id with the same text, ``n_copies`` their number.
-    """
+
+def by_texts(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, sig), and distinct texts with words: key, rep, copies, n_links, class_id, root."""
     bounded_batches(documents.sparkSession, "4m")
-    rows = documents.select(F.col(id_column).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("text"))
+    rows = documents.select(F.col(id_column).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"))
     signed = cut(rows.select("id", "key", _signed("text").alias("s")).select("id", "key", "s.n", "s.sig"))
     reps = cut(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
 
@@ -314,8 +314,24 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     linked = links.join(roots, "key").join(reps.select("key", "rep"), "key")
     names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(names, "root").select("key", "n_links", "class_id")
-    by_text = reps.select("key", "rep", "copies").join(linked, "key", "left")
+    linked = linked.join(names, "root").select("key", "n_links", "class_id", "root")
+    return signed, reps.select("key", "rep", "copies").join(linked, "key", "left")
+
+
+def firsts(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, id): the text that stands for each class, and its least id; null ids come last."""
+    _, by_text = by_texts(documents, id_column, text)
+    order = F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep").alias("id"), "key")
+    return by_text.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(order).alias("f")).select("f.key", "f.id")
+
+
+def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``documents``: doc_id, class_id, n_links, rep_id, n_copies.
+
+    ``n_links`` counts the other distinct texts at the threshold or above;
+    ``rep_id`` is the least id with the same text, ``n_copies`` their number.
+    """
+    signed, by_text = by_texts(documents, id_column, text)
     return signed.select("id", "key", "n").join(by_text, "key", "left").select(
         F.col("id").alias(id_column),
         F.coalesce("class_id", "rep", "id").alias("class_id"),
