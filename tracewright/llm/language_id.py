@@ -12,8 +12,9 @@ probabilities are the mean over its windows, weighted by their bytes.
 
 Defined results: a null text, or one without any letter, gives ``und`` with
 score 0.  A training set without rows gives a model that knows no language;
-it answers ``und`` for everything.  Rows are independent: repeated rows repeat
-their result, and no other column is read.
+it answers ``und`` for everything; an empty table gives an empty result.  Of
+languages equally likely, the first by name is given.  Rows are independent:
+repeated rows repeat their result, and no other column is read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ UNKNOWN = "und"
 #: language, and the windows taken from each sampled text.
 ROWS_PER_LANGUAGE = 600
 WINDOWS_PER_ROW = 4
+#: The languages that the network may know: those with most rows.
+MOST_LANGUAGES = 500
 
 
 @dataclass
@@ -148,15 +151,16 @@ def train(rows: list[tuple[bytes, str]], steps: int = 700, batch: int = 64, rate
     return net
 
 
-def fit(documents: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> ByteNet:
+def fit(documents: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> ByteNet:
     """Learn from a bounded sample of the rows outside the held-out fold.
 
     About ``rows_per_language`` rows of each language are taken by hash of id
     and text, at most twice as many; of each, ``WINDOWS_PER_ROW`` windows at
-    even distances.  Rows with null text, null language or id are left out.
+    even distances.  Rows with null text, null language or id are left out; so
+    are languages beyond the ``languages`` with most rows (of equals, by name).
     """
     usable = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~fold(4, 2, id_column))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(languages).collect()}
     if not counts:
         return train([])
     span = 1 << 30
@@ -168,6 +172,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", id_column:
     sample = (
         usable.where(F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.substring(text, 1, 64)), F.lit(span)) < least)
         .select(F.col(lang).alias("lang"), F.transform(starts, lambda s: F.substring(F.col(text), s, F.lit(WINDOW))).alias("parts"))
+        .orderBy(F.xxhash64("parts"), "lang", "parts")  # binds only where rows repeat
         .limit(2 * rows_per_language * len(counts))
         .collect()
     )
