@@ -217,7 +217,8 @@ def train(rows: list[tuple[str, int]], seed: int = 11, rate: float = 0.13, steps
     x = model.signs([t for t, _ in check])
     y = np.array([y for _, y in check])
     weigh = 0.5 / np.where(y == 1, max(np.mean(y), 1e-9), max(np.mean(1 - y), 1e-9))
-    center, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    center, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-6] = np.inf  # what does not vary tells nothing
     x, a, b = (x - center) / spread, np.zeros(x.shape[1]), 0.0
     for _ in range(3000):
         e = (1 / (1 + np.exp(-np.clip(x @ a + b, -30, 30))) - y) * weigh
