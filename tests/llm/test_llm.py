@@ -275,7 +275,7 @@ def brute_top(rows, k=5):
 
 @pytest.mark.parametrize("spread", [0.02, 1.0])
 def test_topk_agrees_with_brute_force(spark, monkeypatch, spread):
-    for name in ("BUCKET", "BLOCK", "TOP"):
+    for name in ("BUCKET", "BLOCK", "TOP", "AT_ONCE"):
         monkeypatch.setattr(topk, name, 16)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(4, 6))
