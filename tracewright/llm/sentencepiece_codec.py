@@ -6,22 +6,32 @@ these relaxes the best hypothesis for that position; the segmentation is read
 off backwards.
 
 * Unigram models: a hypothesis is worth the sum of its piece scores (Viterbi).
-* BPE models: scores are merge priorities, and their sum does not give the
+* BPE models: scores are merge priorities, and the largest sum does not give the
   tokenizer's ids.  There, a piece may extend a hypothesis only if merging the
-  two pieces' characters by priority gives exactly these two pieces; one
-  hypothesis survives at each position, and it is what merging the whole text
-  gives.  The pass over the automaton is the same.
+  two pieces' characters by priority gives exactly these two pieces; any other
+  hypothesis is worth minus infinity.  One hypothesis at most stays finite at each
+  position, and it is what merging the whole text gives; so the links beyond the
+  one that gave it need not be followed.  The pass over the automaton is the same.
 
 Words are segmented apart wherever no piece spans a word's end, which is
 checked when the vocabulary is read; the distinct short words of a batch are
 read side by side, as arrays.  Which pieces may meet is remembered in a table
-of fixed size.  Characters without a piece become byte pieces, or the unknown
-piece where the model has none.
+of fixed size.  Characters without a piece become byte pieces, or, a whole run of
+them, one unknown piece where the model has no bytes.  User-defined symbols are
+matched first, the longest at each place, and kept whole.  Unused pieces are
+skipped by unigram models; BPE models merge them and split them again, by the
+last merge that makes them.  A model's character map (the longest match at each
+place is replaced) is applied first.
+
+Not supported, and refused: word and character models, marks behind words.
 
 Defined results: a null text gives null ids, an empty text an empty list; null
-ids decode to null.  Texts are never shortened.  Decoding gives the text back,
+ids decode to null; an empty table gives an empty result; repeated rows repeat
+their result.  Of equally good hypotheses the one found first stays, which ends
+in the longer piece.  Texts are never shortened.  Decoding gives the text back,
 but for characters that the model itself cannot tell apart (its space mark
-becomes a space; unknown pieces become U+2047).
+becomes a space; unknown pieces become U+2047 between spaces) or that its
+character map replaces.
 """
 
 from __future__ import annotations
@@ -87,10 +97,12 @@ class Vocabulary:
     algorithm: int
     dummy_prefix: bool = True
     squeeze: bool = False
+    charsmap: bytes = b""
+    unknown_text: str = " ⁇ "
 
     def codec(self) -> "Codec":
         """The codec of this vocabulary; a worker keeps the last one from task to task."""
-        key = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.algorithm, self.dummy_prefix, self.squeeze)).encode()).digest()
+        key = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.algorithm, self.dummy_prefix, self.squeeze, self.charsmap, self.unknown_text)).encode()).digest()
         if key not in _CODECS:
             _CODECS.clear()
             _CODECS[key] = Codec(self)
@@ -107,7 +119,7 @@ def read_model(path: str) -> Vocabulary:
 
 def parse_model(data: bytes) -> Vocabulary:
     pieces, scores, kinds = [], [], []
-    algorithm, dummy, squeeze, suffix, charsmap = UNIGRAM, True, True, False, b""
+    algorithm, dummy, squeeze, suffix, charsmap, unknown_text = UNIGRAM, True, True, False, b"", " ⁇ "
     for number, value in fields(data):
         if number == 1:
             own = dict(fields(value))
@@ -117,12 +129,67 @@ def parse_model(data: bytes) -> Vocabulary:
         elif number == 2:
             own = dict(fields(value))
             algorithm, suffix = own.get(3, UNIGRAM), bool(own.get(24, 0))
+            unknown_text = own[44].decode() if 44 in own else unknown_text
         elif number == 3:
             own = dict(fields(value))
             charsmap, dummy, squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
-    if algorithm not in (UNIGRAM, BPE) or charsmap or suffix:
-        raise ValueError("only unigram and BPE models without character maps and suffix marks are supported")
-    return Vocabulary(pieces, scores, kinds, algorithm, dummy, squeeze)
+    if algorithm not in (UNIGRAM, BPE) or suffix:
+        raise ValueError("only unigram and BPE models without suffix marks are supported")
+    return Vocabulary(pieces, scores, kinds, algorithm, dummy, squeeze, charsmap, unknown_text)
+
+
+class CharacterMap:
+    """A model's map of character strings to what replaces them.
+
+    The file holds the size of a double-array trie over UTF-8, its 32-bit units,
+    and the replacements, each up to a zero byte.  A unit holds a label (its low
+    byte), whether a value is beside it (bit 8), and where its children lie.
+    All keys are read out once, a level of the trie at a time.
+    """
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        units, texts = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :]
+        children = lambda at: at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+        self.replaced: dict[str, str] = {}
+        base, keys = children(np.zeros(1, np.int64)), [b""]
+        while len(base):
+            parent, label = np.divmod(np.arange(1, 256 * len(base) + 1, dtype=np.int64) - 1, 256)
+            at = base[parent] ^ label
+            ok = (label > 0) & (at < len(units))
+            ok[ok] = (units[at[ok]] & 0x800000FF) == label[ok]
+            at, keys = at[ok], [keys[p] + bytes([c]) for p, c in zip(parent[ok].tolist(), label[ok].tolist())]
+            base = children(at)
+            for i in np.flatnonzero(units[at] >> 8 & 1).tolist():
+                start = int(units[base[i]] & 0x7FFFFFFF)
+                try:
+                    self.replaced[keys[i].decode()] = texts[start : texts.index(b"\0", start)].decode("utf-8", "replace")
+                except UnicodeDecodeError:
+                    pass  # not at a character's end
+        alone = {k for k in self.replaced if len(k) == 1}
+        longer = [k for k in self.replaced if len(k) > 1]
+        self.longest = max(map(len, self.replaced), default=0)
+        group = lambda x: "[" + "".join(map(re.escape, sorted(set(x)))) + "]" if x else "(?!)"
+        #: Where a key may start; a key of more characters goes on with one of its second characters.
+        self.start = re.compile(f"{group([k[0] for k in longer])}(?={group([k[1] for k in longer])})|{group(alone)}")
+
+    def pieces(self, text: str):
+        """``text`` in parts, each as it is to be read."""
+        done = 0
+        while m := self.start.search(text, done):
+            at = m.start()
+            key = next((text[at : at + n] for n in range(min(self.longest, len(text) - at), 0, -1) if text[at : at + n] in self.replaced), None)
+            if key is None:
+                yield text[done : at + 1]
+                done = at + 1
+            else:
+                yield text[done:at]
+                yield self.replaced[key]
+                done = at + len(key)
+        yield text[done:]
+
+    def apply(self, text: str) -> str:
+        return "".join(self.pieces(text))
 
 
 def slots(keys: np.ndarray, size: int) -> np.ndarray:
@@ -206,30 +273,52 @@ class Automaton:
 class Codec:
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k in (NORMAL, USER)}
+        usable = (NORMAL, UNUSED) if v.algorithm == BPE else (NORMAL,)
+        self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k in usable}
+        self.unused = np.array([k == UNUSED for k in v.kinds] + [False]) if v.algorithm == BPE else np.zeros(len(v.kinds) + 1, bool)
+        self.own = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == USER and p}
+        self.symbols = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
+        self.map = CharacterMap(v.charsmap) if v.charsmap else None
+        normal = [s for s, k in zip(v.scores, v.kinds) if k == NORMAL]
         self.scores = np.array(v.scores)
+        if v.algorithm == UNIGRAM:  # symbols are pieces with a score that no others reach
+            best = max([np.finfo(np.float32).tiny, *normal])
+            for p, i in self.own.items():
+                self.scores[i] = len(p.encode()) * best - 0.1
+            self.ids.update(self.own)
         self.automaton = Automaton(self.ids)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
-        self.least = min((s for s, k in zip(v.scores, v.kinds) if k == NORMAL), default=0.0) - 10
+        self.least = min(normal, default=0.0) - 10
         spanning = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile(r"(?s).+" if spanning else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.met = np.full(SLOTS, -1, np.int64)
         self.merges: dict[int, tuple | None] = {}
-        raw = [b"" if k == CONTROL else "⁇".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds)]
+        raw = [b"" if k == CONTROL else v.unknown_text.encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds)]
         self.raw = np.array(raw + [b""], object)
 
     def normalise(self, text: str) -> str:
+        # symbols are left as they are
+        parts = self.symbols.split(text) if self.symbols else [text]
+        if self.map:
+            parts[::2] = map(self.map.apply, parts[::2])
+        text = "".join(parts)
         if self.v.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         return MARK * (self.v.dummy_prefix and bool(text)) + text.replace(" ", MARK)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text; BPE models never merge a symbol."""
+        if not self.symbols or self.v.algorithm != BPE:
+            return self.words(text)
+        return [w for k, part in enumerate(self.symbols.split(text)) for w in ([part] if k % 2 else self.words(part))]
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; every distinct word of the batch is segmented once."""
-        split = [self.words(self.normalise(t)) for t in texts]
+        split = [self.split(self.normalise(t)) for t in texts]
         ends = np.cumsum([len(x) for x in split])
         codes, distinct = pd.factorize(np.array([w for x in split for w in x] or [""], object))
         del split
@@ -240,27 +329,54 @@ class Codec:
         upto = np.concatenate([[0], np.cumsum(n)])
         flat = ids[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])]
         del codes, distinct, ids, starts, counts, n
-        return np.split(flat, upto[ends[:-1]])
+        cuts = upto[ends[:-1]]
+        if not self.bytes and (unknown := flat == self.unknown).any():
+            unknown[1:] &= flat[:-1] == self.unknown  # but the first of a run
+            unknown[0] = False
+            unknown[cuts[cuts < len(flat)]] = False
+            cuts = cuts - np.concatenate([[0], np.cumsum(unknown)])[cuts]
+            flat = flat[~unknown]
+        return np.split(flat, cuts)
 
     def segment_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words' ids, end to end, and where each word's ids start and how many there are."""
         lengths = np.array([len(w) for w in words])
+        own = np.array([self.v.algorithm == BPE and w in self.own for w in words]) if self.own else np.zeros(len(words), bool)
         starts, counts, parts, upto = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
-        apart = np.flatnonzero(lengths > SIDE_BY_SIDE).tolist()
-        order = np.argsort(-lengths, kind="stable")[len(apart) : np.count_nonzero(lengths)]
+        apart = np.flatnonzero((lengths > SIDE_BY_SIDE) | own).tolist()
+        order = np.argsort(-lengths, kind="stable")
+        order = order[(lengths[order] > 0) & (lengths[order] <= SIDE_BY_SIDE) & ~own[order]]
         for k in range(0, len(order), AT_ONCE):
             rows = order[k : k + AT_ONCE]
-            ids, n = self.side_by_side([words[i] for i in rows], lengths[rows])
+            ids, n = self.split_unused(*self.side_by_side([words[i] for i in rows], lengths[rows]))
             starts[rows], counts[rows] = upto + np.cumsum(n) - n, n
             parts.append(ids)
             upto += len(ids)
         for i in apart:
-            ids = np.array(self.segment(words[i]), np.int32)
+            ids = np.array([self.own[words[i]]] if own[i] else self.segment(words[i]), np.int32)
+            ids, _ = self.split_unused(ids, np.array([len(ids)]))
             starts[i], counts[i] = upto, len(ids)
             parts.append(ids)
             upto += len(ids)
         return np.concatenate(parts), starts, counts
 
+    def split_unused(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (``n`` of each word) with every unused piece split as it was merged."""
+        if not self.unused[ids].any():
+            return ids, n
+        parts = [self.used_parts(i) for i in ids.tolist()]
+        widths = np.array([len(p) for p in parts])
+        return np.array([i for p in parts for i in p], np.int32), np.bincount(np.repeat(np.arange(len(n)), n), widths, len(n)).astype(np.int64)
+
+    def used_parts(self, i: int) -> list[int]:
+        if not self.unused[i]:
+            return [i]
+        merged = self.steps(i)
+        if merged is None or len(merged[1]) < 2:  # a character by itself
+            return [i]
+        last, first = merged[1][-2], merged[2][-2]
+        return [x for p in (first, last) for x in (self.used_parts(self.ids[p]) if p in self.ids else self.fall_back(p))]
+
     def side_by_side(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their counts of words sorted by length, longest first."""
         a = self.automaton
@@ -269,10 +385,8 @@ class Codec:
         begin = np.cumsum(lengths) - lengths
         piece = np.full((lengths[0] + 1, len(words)), NONE, np.int32)
         size = np.ones(piece.shape, np.int32)
-        best = None if self.v.algorithm == BPE else np.full(piece.shape, -1e300)
-        piece[0] = BARE
-        if best is not None:
-            best[0] = 0.0
+        bpe, best = self.v.algorithm == BPE, np.full(piece.shape, -np.inf)
+        piece[0], best[0] = BARE, 0.0
         state = np.zeros(len(words), np.int32)
         for at in range(1, lengths[0] + 1):
             m = np.searchsorted(-lengths, -at, side="right")
@@ -283,25 +397,20 @@ class Codec:
             while rows.size:  # the output links, longest piece first
                 i, long = a.piece[out], a.depth[out]
                 single[rows[long == 1]] = True
-                if best is None:
-                    before = piece[at - long, rows]
-                    good = before != NONE
-                    good[good] = self.meet(before[good], i[good])
-                    more = ~good
-                else:
-                    sums = best[at - long, rows] + self.scores[i]
-                    good = sums > best[at, rows]
-                    best[at, rows[good]] = sums[good]
-                    more = np.ones(len(rows), bool)
+                sums = best[at - long, rows] + self.scores[i]
+                if bpe:  # pieces that do not meet are worth minus infinity
+                    finite = np.flatnonzero(sums > -np.inf)
+                    sums[finite[~self.meet(piece[at - long, rows][finite], i[finite])]] = -np.inf
+                good = sums > best[at, rows]
+                best[at, rows[good]] = sums[good]
+                more = ~good if bpe else np.ones(len(rows), bool)  # of a BPE model, no other sum is finite
                 piece[at, rows[good]], size[at, rows[good]] = i[good], long[good]
                 out = a.link[out]
                 more &= out > 0
                 rows, out = rows[more], out[more]
-            bare = ~single & (piece[at, :m] == NONE)
-            if best is not None:
-                sums = best[at - 1, :m] + self.least
-                bare = ~single & (sums > best[at, :m])
-                best[at, :m][bare] = sums[bare]
+            sums = best[at - 1, :m] + self.least
+            bare = ~single & (piece[at, :m] == NONE if bpe else sums > best[at, :m])
+            best[at, :m][bare] = np.where(sums[bare] > -np.inf, sums[bare], 0.0)
             piece[at, :m][bare], size[at, :m][bare] = BARE, 1
         rows, at = np.arange(len(words)), lengths.copy()
         n, backwards = np.zeros(len(words), np.int64), []
@@ -330,25 +439,23 @@ class Codec:
     def segment(self, word: str) -> list[int]:
         """The same pass over one word of any length."""
         edges, fail, outs, link, piece, depth = self.automaton.single
-        state, back, best = 0, [(BARE, 0)], [0.0]
+        state, back, best, bpe = 0, [(BARE, 0)], [0.0], self.v.algorithm == BPE
         for at in range(1, len(word) + 1):
             while state and (state, word[at - 1]) not in edges:
                 state = fail[state]
             state = edges.get((state, word[at - 1]), 0)
-            single, out, here, top = False, outs[state], (NONE, 1), -1e300
+            single, out, here, top = False, outs[state], (NONE, 1), -np.inf
             while out:
                 i, size = piece[out], depth[out]
                 single |= size == 1
-                if self.v.algorithm == BPE:
-                    before = back[at - size][0]
-                    if before != NONE and self.meets(before, i):
-                        here = (i, size)
+                total = best[at - size] + self.scores[i]
+                if total > top and (not bpe or self.meets(back[at - size][0], i)):
+                    here, top = (i, size), total
+                    if bpe:
                         break
-                elif (s := best[at - size] + self.v.scores[i]) > top:
-                    here, top = (i, size), s
                 out = link[out]
-            if not single and (here[0] == NONE if self.v.algorithm == BPE else best[at - 1] + self.least > top):
-                here, top = (BARE, 1), best[at - 1] + self.least
+            if not single and (here[0] == NONE if bpe else best[at - 1] + self.least > top):
+                here, top = (BARE, 1), max(best[at - 1] + self.least, -1e300)
             back.append(here)
             best.append(top)
         out, at = [], len(word)
