@@ -10,11 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+HUB_SALTS = 16
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: iteration keeps no lineage and survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -48,17 +54,33 @@ def degrees(e: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.countDistinct("x").alias("unique_counterparties"))
 
 
+def with_least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) with m, the least v of u; and (u, m).
+
+    Rows are dealt by u and a salt of v, so a hub's edges are spread over
+    ``HUB_SALTS`` tasks, in the sum as in the join.
+    """
+    dealt = e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt"), least
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): the least node of each connected component, by alternating stars."""
+    """(u, v) -> (node, component): the least node of each connected component, by alternating stars.
+
+    Loops and repeated pairs are ignored; a node without another one has no row.
+    """
     e = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while (now := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != state:
         state = now
-        around = both_ways(e)
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        e = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large star: every larger neighbour moves to the least one, or to the node itself
+        around, _ = with_least(both_ways(e))
+        e = around.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        # small star: all smaller neighbours, and the node, move to the least one
+        around, least = with_least(e)
+        moved = around.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
