@@ -11,14 +11,18 @@ and fills the rest with Efraimidis-Spirakis sampling: documents are ordered by
 an exponential key divided by the document's quality weight, and taken from the
 front until the rest is full; the last one is cut at the word where it is.
 
-Keys run over a fixed number of ranges in each source.  Sizes are first summed
-by source and range, running sums over ranges give each range its start, and
-the order within a range is all that a task has to sort: a source with most of
-the rows is spread over all of its ranges.
+Keys run over a fixed number of ranges in each source, which follow the keys'
+own distribution: for no quality weight does a range hold more than about twice
+its even share.  Sizes are first summed by source and range, running sums over
+ranges give each range its start, and the order within a range is all that a task
+has to sort: a source with most of the rows is spread over all of its ranges.
+Sources themselves, a row each, are put in order in one task.
 
 Defined results: a null text has size 0; size-0 documents are never taken.  A
 null source is a source, the last one.  Repeated rows are documents of their
-own and share a key.  Keys depend on id and size only, so reruns agree.
+own and share a key; of equal keys, ids and sizes the text's hash decides, so only
+equal texts are interchangeable.  Keys depend on id and size only, so reruns
+agree.  An empty table gives an empty mix.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -83,12 +87,19 @@ def mix(
     share: float = SHARE,
     limit: float = LIMIT,
     seed: str = "mix",
+    quality: Column | None = None,
 ) -> DataFrame:
     """One row for each document: id, source, size, source_size, target, epochs, extra, taken, and ``keep``.
 
     ``taken = epochs * size + extra``.  Columns named in ``keep`` ride along
-    unchanged in a struct ``kept``, so their names cannot clash.
+    unchanged in a struct ``kept``, so their names cannot clash.  ``quality`` is a
+    weight for each document (a classifier's score, say), taken from 0.25 to 1;
+    without it, :func:`quality_weight` of the text.
     """
+    if quality is None:
+        weight = quality_weight(F.col(text))
+    else:
+        weight = F.coalesce(F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.nanvl(quality.cast("double"), F.lit(0.25)))), F.lit(0.25))
     size = size_of(F.col(text))
     u = uniform(seed, F.col(id_column), size)
     rows = (
@@ -96,12 +107,15 @@ def mix(
             F.col(id_column).alias("id"),
             F.col(source).alias("source"),
             size.alias("size"),
-            (-F.log(u) / quality_weight(F.col(text))).alias("key"),
+            (-F.log(u) / weight).alias("key"),
+            F.xxhash64(text).alias("digest"),
             F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("kept"),
         )
-        # 1 - exp(-key) spreads keys about evenly over the ranges and keeps their order
-        .withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+        # between the distributions of keys of weights 0.25 and 1: even ranges, in the keys' order
+        .withColumn("range", F.least(F.floor((1 - (F.exp(-F.col("key") / 4) + F.exp(-F.col("key"))) / 2) * RANGES), F.lit(RANGES - 1)).cast("int"))
     )
+    if not keep:
+        rows = cut(rows)  # narrow rows: texts are read once
     in_source = W.partitionBy("source")
     so_far = in_source.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -111,7 +125,7 @@ def mix(
         F.col("s.source").alias("p_source"), F.col("s.range").alias("p_range"), "start", "s.source_size", "target"
     )
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range")))
-    within = W.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "range").orderBy("key", "id", "size", "digest").rowsBetween(W.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.col("target") - F.col("epochs") * F.col("source_size") - (F.col("start") + F.sum("size").over(within) - F.col("size"))
     return (

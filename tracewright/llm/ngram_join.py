@@ -12,13 +12,20 @@
    counts and a spanning forest of the links, never the pairs themselves.
 5. Connected components of the forest are the classes.
 
+Rows come back to their texts by text and salt, so a text with very many copies is
+spread over ``SALTS`` tasks; so is a class's centre when components are formed.
+A bucket's rows meet its size in a join that adaptive execution splits where it
+is skewed.  Within one group of m distinct texts that are all near each other,
+every pair is compared, as every link counts: about m^2 / ``CHUNK`` rows are moved a band.
+
 A pair of similarity 0.8 escapes all 20 bands with probability 6e-7 and step 3
 with at most ``TOLERANCE``; pairs above are safer still.
 
 Words are lower-case runs of anything but ASCII white space; a text of fewer
 than five words is one shingle.  Defined results: null or wordless texts are
 linked to nothing and are classes of their own; repeated rows are copies of one
-representative; a class is named by its least id, ignoring null ids.
+representative; a class is named by its least id, ignoring null ids; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import bounded_batches, cut, give_back
 
 N, THRESHOLD = 5, 0.8
@@ -42,6 +50,7 @@ TOLERANCE = 1e-7
 #: Representatives of one bucket that meet in one task: twice so many at most.
 CHUNK = 512
 PAIRS_AT_ONCE = 100_000
+SALTS = 64
 
 
 class WordHashes(dict):
@@ -251,25 +260,6 @@ def verify(frames, threshold: float = THRESHOLD):
         give_back()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): alternating large and small stars until nothing moves."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    while (now := mark(e)) != state:
-        state = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: every larger neighbour moves to the least neighbour
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: all smaller neighbours, and the node itself, move to the least one
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 @F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]))
 def _signed(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
@@ -287,10 +277,11 @@ def text_key(text: str = "text") -> Column:
 
 
 def by_texts(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (id, key, n, sig), and distinct texts with words: key, rep, copies, n_links, class_id, root."""
-    bounded_batches(documents.sparkSession, "4m")
+    """Rows (id, key, salt, n, sig), and distinct texts with words: key, rep, copies, n_links, class_id, root."""
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"))
-    signed = cut(rows.select("id", "key", _signed("text").alias("s")).select("id", "key", "s.n", "s.sig"))
+    # rows are numbered for their salts; the checkpoint fixes them
+    signed = cut(rows.select("id", "key", _signed("text").alias("s"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")).select("id", "key", "salt", "s.n", "s.sig"))
     reps = cut(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, F.lit(ROWS))))).alias("band", "bucket")
@@ -311,7 +302,8 @@ def by_texts(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     found = cut(checked.select(*GROUP, "key", "peers", "shingles").mapInPandas(verify, "a binary, b binary, links long"))
 
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
-    roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
+    forest = found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(forest).withColumnsRenamed({"node": "key", "component": "root"})
     linked = links.join(roots, "key").join(reps.select("key", "rep"), "key")
     names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = linked.join(names, "root").select("key", "n_links", "class_id", "root")
@@ -332,7 +324,9 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     ``rep_id`` is the least id with the same text, ``n_copies`` their number.
     """
     signed, by_text = by_texts(documents, id_column, text)
-    return signed.select("id", "key", "n").join(by_text, "key", "left").select(
+    rows = signed.select("id", "key", "salt", "n")
+    there = rows.where("n > 0").select("key", "salt").distinct().join(by_text, "key")
+    return rows.join(there, ["key", "salt"], "left").select(
         F.col("id").alias(id_column),
         F.coalesce("class_id", "rep", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -17,7 +17,7 @@ Payloads: of records with equal payloads of ``least`` bytes or more, the one
 with the largest id is a response and the others are revisits of it; smaller
 ones are all responses.  Defined results: a null payload counts as empty; a null
 id is smaller than any other; rows with the largest id and equal payloads are
-all responses.
+all responses.  An empty table gives no archive and reads back as no record.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import bounded_batches, shared_dir
 
@@ -128,6 +127,9 @@ class ZipReader:
         self.file, self.size = file, size
         tail = self.range(max(0, size - 65_557), size)
         at = tail.rfind(b"PK\x05\x06")
+        # what follows is a comment of the stated length; else the mark is part of a comment
+        while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):
+            at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
         n, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -181,18 +183,13 @@ class ZipReader:
 # ---- operators ----------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def payload_digest(payloads: pd.Series) -> pd.Series:
-    return pd.Series([base64.b32encode(hashlib.sha1((p or "").encode("utf-8", "replace")).digest()).decode() for p in payloads], dtype=object)
-
-
 SALTS = 32
 
 
 def planned(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """id, url, payload, digest, size, kind and refers_to for each row."""
+    """id, url, payload, digest (SHA-1 in hexadecimal), size, kind and refers_to for each row."""
     rows = pages.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", payload_digest("payload"))
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     # digests with several rows only, each repeated for every salt: a payload that very many rows share is spread
     again = (
         rows.where(F.col("size") >= least)
@@ -222,9 +219,10 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
                     zipped = ZipWriter(out)
                     zipped.begin(RECORDS)
                 text = lambda x: "null" if x is None else x
-                data = gzip.compress(record(r.kind, text(r.id), r.url or "", r.payload.encode("utf-8", "replace"), r.digest, r.size, text(r.refers_to)), 6, mtime=0)
+                digest = base64.b32encode(bytes.fromhex(r.digest)).decode()
+                data = gzip.compress(record(r.kind, text(r.id), r.url or "", r.payload.encode("utf-8", "replace"), digest, r.size, text(r.refers_to)), 6, mtime=0)
                 zipped.put(data)
-                index.append(json.dumps({"id": text(r.id), "offset": at, "length": len(data), "digest": f"sha1:{r.digest}"}))
+                index.append(json.dumps({"id": text(r.id), "offset": at, "length": len(data), "digest": f"sha1:{digest}"}))
                 at += len(data)
                 n += 1
         if out is not None:
