@@ -16,7 +16,8 @@ hashes; two different windows of one text that share a hash would count as
 repeated (one in 10^11 for a text of 20,000 words).
 
 Defined results: a null or wordless text has all counts 0 and score 0, and
-fails the base rule.  Repeated rows repeat their result.
+fails the base rule.  Repeated rows repeat their result; equal scores fare
+equally; an empty table gives an empty result; no other column is read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD
 
-BUCKETS = 1 << 13
+#: Hashed n-grams are told apart by so many buckets; a document of trusted words shares few of them with others.
+BUCKETS = 1 << 16
 THRESHOLD = -0.15
 #: Up to so many distinct repeated windows are looked up one by one.
 FEW = 48
