@@ -162,11 +162,65 @@ def closeness(e: DataFrame) -> DataFrame:
     return d.groupBy(F.col("source").alias("node")).agg(F.when(total > 0, reach / total * reach / max(n - 1, 1)).otherwise(0.0).alias("closeness_centrality"))
 
 
+#: Steps along edges between two checkpoints.
+STEPS = 4
+
+
+def _least_reaching(left: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, color): the least node from which each node can be reached, itself included."""
+    color = cut(left.select("node", F.col("node").alias("color")))
+    changed = True
+    while changed:
+        now = color
+        for _ in range(STEPS):
+            sent = now.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "color")
+            now = now.unionByName(sent).groupBy("node").agg(F.min("color").alias("color"))
+        now = cut(now)
+        changed = not now.join(color.withColumnRenamed("color", "before"), "node").where("color <> before").isEmpty()
+        color = now
+    return color
+
+
+def _reaching(back: DataFrame, step: DataFrame) -> DataFrame:
+    """``back`` (node, color) and all nodes that reach one of it along ``step``."""
+    back, n, before = cut(back), None, -1
+    while n != before:
+        before, now = n, back
+        for _ in range(STEPS):
+            into = now.join(step, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "color")
+            now = now.unionByName(into).distinct()
+        back = cut(now)
+        n = back.count()
+    return back
+
+
 def strong_components(e: DataFrame) -> DataFrame:
-    """(node, scc): pairs that reach each other; the least of them names the component."""
-    d = cut(distances(e, nodes(e)).select("source", "node"))
-    mutual = d.join(d.select(F.col("node").alias("source"), F.col("source").alias("node")), ["source", "node"])
-    return mutual.groupBy("source").agg(F.min("node").alias("scc"), F.count("*").alias("size")).withColumnRenamed("source", "node")
+    """(node, scc, size): strong components, named by their least node.
+
+    Nodes without an edge in or out are components of their own and are trimmed.
+    The rest is coloured by the least node that reaches each node; a node of its
+    own colour stands for the nodes of that colour that reach it.  What is left
+    goes on.  Tables hold nodes and edges, never pairs; there are as many rounds
+    as the longest way is long, and no bound on it.
+    """
+    left, step, found = cut(nodes(e)), cut(e.where("src <> dst").select("src", "dst").distinct()), None
+    while not left.isEmpty():
+        ends = step.select(F.col("src").alias("node")).intersect(step.select(F.col("dst").alias("node")))
+        core = cut(left.join(ends, "node", "left_semi"))
+        done = left.join(core, "node", "left_anti").select("node", F.col("node").alias("scc"))
+        among = lambda s, n: s.join(n.select(F.col("node").alias("src")), "src", "left_semi").join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
+        step = cut(among(step, core))
+        color = _least_reaching(core, step)
+        of = lambda end: color.select(F.col("node").alias(end), F.col("color").alias(f"c_{end}"))  # noqa: B023, E731
+        inner = cut(step.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        back = _reaching(color.where("node = color"), inner)
+        done = done.unionByName(back.withColumnRenamed("color", "scc"))
+        found = cut(done if found is None else found.unionByName(done).coalesce(step.sparkSession.sparkContext.defaultParallelism))
+        left = cut(core.join(back, "node", "left_anti"))
+        step = cut(among(step, left))
+    if found is None:
+        found = left.select("node", F.col("node").alias("scc"))
+    return found.join(found.groupBy("scc").agg(F.count("*").alias("size")), "scc").select("node", "scc", "size")
 
 
 def betweenness(e: DataFrame, pivots: int = 64, most: int = 10) -> DataFrame:

@@ -56,3 +56,29 @@ def denomination(value: Column, tolerance: float = 0.05) -> Column:
     for d in DENOMINATIONS:
         out = F.when(F.abs(value - d) <= d * tolerance, F.lit(d)).otherwise(out)
     return out
+
+
+def band_matches(tx: DataFrame, width: int = 259200, tolerance: float = 0.05) -> DataFrame:
+    """(hash, matches, farthest): for each transfer near a standard amount, others near the same one within ``width`` seconds that do not touch its sender."""
+    rows = tx.withColumn("denom", denomination(F.col("value_eth"), tolerance)).where("denom is not null")
+    left = rows.select("hash", "denom", F.col("timestamp").alias("t1"), F.col("from_addr").alias("a"))
+    right = rows.select(F.col("hash").alias("h2"), "denom", F.col("timestamp").alias("t2"), F.col("from_addr").alias("f2"), F.col("to_addr").alias("d2"))
+    met = near_in_time(left, right, ["denom"], "t1", "t2", width).where("f2 <> a and d2 <> a and hash <> h2")
+    return met.groupBy("hash").agg(F.count("*").alias("matches"), F.max(F.abs(F.col("t1") - F.col("t2"))).alias("farthest"))
+
+
+def coactivity(tx: DataFrame, width: int = 3600, least: int = 5, above: float = 0.7) -> DataFrame:
+    """(a, b, coactivity): share of a's transfers that have one of b's within ``width`` seconds; addresses with ``least`` transfers.
+
+    Both sides are first reduced to counts by address and second, so that
+    repeated activity in a second is compared once.
+    """
+    s = incidence(tx).select("address", "hash", "timestamp")
+    n = s.groupBy("address").agg(F.countDistinct("hash").alias("n")).where(F.col("n") >= least)
+    s = s.join(n, "address").groupBy("address", "n", "timestamp").agg(F.countDistinct("hash").alias("k"))
+    here = F.floor(F.col("t1") / width)
+    left = s.select(F.col("address").alias("a"), F.col("timestamp").alias("t1"), "n", "k").withColumn("bucket", F.explode(F.array(here - 1, here, here + 1)))
+    right = s.select(F.col("address").alias("b"), F.col("timestamp").alias("t2"), F.floor(F.col("timestamp") / width).alias("bucket"))
+    met = left.join(right, "bucket").where((F.col("a") != F.col("b")) & (F.abs(F.col("t1") - F.col("t2")) <= width))
+    seconds = met.select("a", "b", "t1", "n", "k").distinct()
+    return seconds.groupBy("a", "b").agg((F.sum("k") / F.first("n")).alias("coactivity")).where(F.col("coactivity") > above)

@@ -97,10 +97,12 @@ def busy_addresses(tx: DataFrame, most_tx: int = 1000, most_partners: int = 500)
     return s.where((F.col("n") > most_tx) & (F.col("f") + F.col("t") > most_partners)).select("address", F.col("n").alias("n_tx"), (F.col("f") + F.col("t")).alias("n_partners"))
 
 
-def discover_bridges(tx: DataFrame, words: str = "bridge|transfer|send|swap", least_tx: int = 100, least_senders: int = 50, diversity: float = 0.5) -> DataFrame:
+def discover_bridges(tx: DataFrame, words: str = "bridge|transfer|send|swap", least_tx: int = 100, least_senders: int = 50, diversity: float = 0.5, most: int | None = None) -> DataFrame:
+    """Contracts by method name, and busy ones with many senders: all of them, or the ``most`` busiest."""
     named = tx.where(F.lower("method_name").rlike(words) | F.lower("function_name").rlike(words)).select("to_addr").distinct()
     s = tx.where("to_addr is not null and to_addr <> ''").groupBy("to_addr").agg(F.count("*").alias("n"), F.countDistinct("from_addr").alias("k"))
-    busy = s.where((F.col("n") > least_tx) & (F.col("k") > least_senders) & (F.col("k") / F.col("n") > diversity)).orderBy(F.col("n").desc(), "to_addr").limit(50)
+    busy = s.where((F.col("n") > least_tx) & (F.col("k") > least_senders) & (F.col("k") / F.col("n") > diversity))
+    busy = busy.orderBy(F.col("n").desc(), "to_addr").limit(most) if most else busy
     return named.unionByName(busy.select("to_addr")).distinct().withColumnRenamed("to_addr", "contract")
 
 

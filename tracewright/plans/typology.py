@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mixers as M
-from ..operators.incidence import denomination, incidence, near_in_time
+from ..operators.incidence import band_matches, coactivity
 from ..sources.ledger import INCIDENCE, TX, event_ledger
 from .catalog import outer, query, rounded
 
@@ -66,7 +66,7 @@ def l2_busy_addresses(spark, sf_dir):
     return rounded(M.busy_addresses(event_ledger(spark, sf_dir), 100, 100))
 
 
-@query(f"WITH {TX} SELECT to_addr AS contract FROM tx WHERE regexp_matches(lower(method_name), 'bridge|transfer|send|swap') UNION SELECT contract FROM (SELECT to_addr AS contract FROM tx GROUP BY 1 HAVING count(*) > 100 AND count(DISTINCT from_addr) > 50 AND count(DISTINCT from_addr) / count(*) > 0.5 ORDER BY count(*) DESC, 1 LIMIT 50)")
+@query(f"WITH {TX} SELECT to_addr AS contract FROM tx WHERE regexp_matches(lower(method_name), 'bridge|transfer|send|swap') UNION SELECT contract FROM (SELECT to_addr AS contract FROM tx GROUP BY 1 HAVING count(*) > 100 AND count(DISTINCT from_addr) > 50 AND count(DISTINCT from_addr) / count(*) > 0.5)")
 def x1_bridge_discovery(spark, sf_dir):
     return M.discover_bridges(event_ledger(spark, sf_dir))
 
@@ -85,25 +85,13 @@ def b2_deposit_features(spark, sf_dir):
     return rounded(M.deposit_features(tx, _known(tx)).select(*names.split()))
 
 
-@query(f"WITH {TX}, b AS (SELECT *, CASE WHEN abs(value_eth - 0.1) <= 0.005 THEN 0.1 WHEN abs(value_eth - 1) <= 0.05 THEN 1 WHEN abs(value_eth - 10) <= 0.5 THEN 10 WHEN abs(value_eth - 100) <= 5 THEN 100 END::DOUBLE AS denom FROM tx WHERE gas = 21000) "
+@query(f"WITH {TX}, b AS (SELECT *, CASE WHEN abs(value_eth - 0.1) <= 0.005 THEN 0.1 WHEN abs(value_eth - 1) <= 0.05 THEN 1 WHEN abs(value_eth - 10) <= 0.5 THEN 10 WHEN abs(value_eth - 100) <= 5 THEN 100 END::DOUBLE AS denom FROM tx) "
        + outer("SELECT x.hash AS hash, count(*) AS matches, max(abs(x.timestamp - y.timestamp)) AS farthest FROM b x JOIN b y ON x.denom = y.denom AND abs(x.timestamp - y.timestamp) <= 259200 AND y.from_addr <> x.from_addr AND y.to_addr <> x.from_addr AND x.hash <> y.hash GROUP BY 1", "hash #matches #farthest"))
 def j6_band_join(spark, sf_dir):
-    rows = event_ledger(spark, sf_dir).withColumn("denom", denomination(F.col("value_eth"))).where("denom is not null")
-    left = rows.select("hash", "denom", F.col("timestamp").alias("t1"), F.col("from_addr").alias("a"))
-    right = rows.select(F.col("hash").alias("h2"), "denom", F.col("timestamp").alias("t2"), F.col("from_addr").alias("f2"), F.col("to_addr").alias("d2"))
-    met = near_in_time(left, right, ["denom"], "t1", "t2", 259200).where("f2 <> a and d2 <> a and hash <> h2")
-    return rounded(met.groupBy("hash").agg(F.count("*").alias("matches"), F.max(F.abs(F.col("t1") - F.col("t2"))).alias("farthest")))
+    return rounded(band_matches(event_ledger(spark, sf_dir)))
 
 
-@query(f"WITH {TX}, {INCIDENCE}, s AS (SELECT DISTINCT address, hash, timestamp FROM inc WHERE address LIKE '0x000%'), n AS (SELECT address, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5) "
+@query(f"WITH {TX}, {INCIDENCE}, s AS (SELECT DISTINCT address, hash, timestamp FROM inc), n AS (SELECT address, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5) "
        + outer("SELECT x.address AS a, y.address AS b, count(DISTINCT x.hash) / any_value(n.n) AS coactivity FROM s x JOIN s y ON x.address <> y.address AND abs(x.timestamp - y.timestamp) <= 3600 JOIN n ON n.address = x.address JOIN n ny ON ny.address = y.address GROUP BY 1, 2 HAVING count(DISTINCT x.hash) / any_value(n.n) > 0.7", "a b ~coactivity"))
 def j14_coactivity(spark, sf_dir):
-    s = incidence(event_ledger(spark, sf_dir)).select("address", "hash", "timestamp")
-    n = s.groupBy("address").agg(F.count("*").alias("n")).where("n >= 5")
-    s = s.join(n, "address")
-    left = s.select(F.col("address").alias("a"), "hash", F.col("timestamp").alias("t1"), "n", F.lit(0).alias("k"))
-    right = s.select(F.col("address").alias("b"), F.col("timestamp").alias("t2"), F.lit(0).alias("k"))
-    # bucketed by hour; the right side is reduced to distinct times of an address
-    met = near_in_time(left, right.distinct(), ["k"], "t1", "t2", 3600).where("a <> b")
-    out = met.groupBy("a", "b").agg((F.countDistinct("hash") / F.first("n")).alias("coactivity"))
-    return rounded(out.where("coactivity > 0.7"))
+    return rounded(coactivity(event_ledger(spark, sf_dir)))
