@@ -61,6 +61,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op7_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = web_archive.read(web_archive.archive(table(spark, sf_dir, "pages")))
     number = lambda c: F.col(c).try_cast("long")
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_source_mixing, op6_secret_scan, op7_web_archive, op8_topk_search, op9_toxicity, op10_quality_rules, pipeline)
+    for f in (op1_sentencepiece, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_source_mixing, op6_secret_scan, secret_base_spans, op7_web_archive, op8_topk_search, op9_toxicity, op10_quality_rules, pipeline)
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -113,6 +118,18 @@ SELECT d.doc_id, CASE WHEN n.rep IS NULL THEN d.doc_id ELSE coalesce(class_id, r
 FROM d JOIN reps ON d.t = reps.t LEFT JOIN n ON n.rep = reps.rep LEFT JOIN class ON class.rep = reps.rep LEFT JOIN deg ON deg.rep = reps.rep
 """
 
+#: The base kinds of op6; its further spans are the lexer's and not in SQL.
+OP6_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT 0 AS kind, 'assign' AS name, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p, 1 AS g, 6 AS least
+ UNION ALL SELECT 1, 'access', '(AKIA[A-Z0-9]+)', 1, 20 UNION ALL SELECT 2, 'hex', '([0-9a-f]+)', 1, 24),
+m AS (SELECT doc_id, kind, name, least, regexp_extract_all(t, p, 0) AS whole, regexp_extract_all(t, p, 1) AS part, regexp_split_to_array(t, p) AS gaps FROM d, k),
+s AS (SELECT doc_id, kind, name, least, unnest(whole) AS w, unnest(part) AS v, unnest(range(1, len(whole) + 1)) AS i, whole, gaps FROM m),
+f AS (SELECT doc_id, kind, name, list_sum(list_transform(gaps[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: len(x))), 0)::BIGINT AS b, len(w) AS n FROM s WHERE len(v) >= least)
+SELECT d.doc_id, count(*) FILTER (name = 'assign')::BIGINT AS n_assign, count(*) FILTER (name = 'access')::BIGINT AS n_access, count(*) FILTER (name = 'hex')::BIGINT AS n_hex, sha256(coalesce(string_agg(name || ':' || b || ':' || (b + n), ',' ORDER BY b, kind), '')) AS base_sha256
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 OP7 = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
 bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
@@ -153,4 +170,4 @@ r AS (SELECT q.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floo
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target - epochs * source_size - before + 1e-6))))::BIGINT AS taken FROM r
 """
 
-ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op5_source_mixing": OP5, "op7_web_archive": OP7, "op8_topk_search": OP8}
+ORACLE_SQL = {"secret_base_spans": OP6_BASE, "op3_ngram_jaccard_join": OP3, "op5_source_mixing": OP5, "op7_web_archive": OP7, "op8_topk_search": OP8}
