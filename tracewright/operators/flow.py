@@ -17,7 +17,8 @@ def rapid_chains(tx: DataFrame, key: list[str], width: int = 3600, least: int =
     return (
         rows.groupBy(*key, "chain")
         .agg(F.count("*").alias("length"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.sum("value_eth").alias("total_value"), F.avg("value_eth").alias("avg_value"),
-             F.min_by("hash", F.struct("timestamp", "hash")).alias("first_hash"), F.max_by("hash", F.struct("timestamp", "hash")).alias("last_hash"))
+             F.min_by("hash", F.struct("timestamp", "hash")).alias("first_hash"), F.max_by("hash", F.struct("timestamp", "hash")).alias("last_hash"),
+             F.array_distinct(F.flatten(F.collect_set(F.array("from_addr", "to_addr")))).alias("addresses"))
         .where(F.col("length") >= least)
         .drop("chain")
     )
@@ -54,15 +55,16 @@ def layers(tx: DataFrame, key: str = "cluster_id", least: int = 3) -> DataFrame:
                 k = heapq.heappop(waiting)
             else:
                 k = len(sequences)
-                sequences.append([0, 0.0, r.timestamp, r.timestamp])
+                sequences.append([0, 0.0, r.timestamp, r.timestamp, set()])
             s = sequences[k]
             s[0], s[1], s[3] = s[0] + 1, s[1] + (r.value_eth or 0.0), r.timestamp
+            s[4].update((r.from_addr, r.to_addr))
             heapq.heappush(ends.setdefault(r.to_addr, []), k)
-        rows = [(pdf[key].iat[0], k, s[0], s[1], s[3] - s[2]) for k, s in enumerate(sequences) if s[0] >= least]
-        return pd.DataFrame(rows, columns=[key, "sequence", "layers", "total_value", "duration"])
+        rows = [(pdf[key].iat[0], k, s[0], s[1], s[3] - s[2], sorted(s[4])) for k, s in enumerate(sequences) if s[0] >= least]
+        return pd.DataFrame(rows, columns=[key, "sequence", "layers", "total_value", "duration", "addresses"])
 
     rows = tx.where("from_addr is not null and to_addr is not null").select(key, "hash", "timestamp", "from_addr", "to_addr", "value_eth")
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, sequence int, layers int, total_value double, duration long")
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, sequence int, layers int, total_value double, duration long, addresses array<string>")
 
 
 def hourly(tx: DataFrame) -> DataFrame:

@@ -106,13 +106,13 @@ CHAIN = """k AS (SELECT *, sum(brk) OVER (ORDER BY timestamp, hash) AS chain FRO
 @query(f"WITH {TX}, k AS (SELECT *, sum(brk) OVER (PARTITION BY method_name ORDER BY timestamp, hash) AS chain FROM (SELECT *, CASE WHEN lag(to_addr) OVER w IS NOT NULL AND timestamp - lag(timestamp) OVER w < 3600 AND lag(to_addr) OVER w = from_addr THEN 0 ELSE 1 END AS brk FROM tx WINDOW w AS (PARTITION BY method_name ORDER BY timestamp, hash))) "
        + outer("SELECT method_name, count(*) AS length, max(timestamp) - min(timestamp) AS duration, sum(value_eth) AS total_value, avg(value_eth) AS avg_value, arg_min(hash, (timestamp, hash)) AS first_hash, arg_max(hash, (timestamp, hash)) AS last_hash FROM k GROUP BY method_name, chain HAVING count(*) >= 2", "method_name #length #duration ~total_value ~avg_value first_hash last_hash"))
 def p2_rapid_chains(spark, sf_dir):
-    return rounded(flow.rapid_chains(event_ledger(spark, sf_dir), ["method_name"], least=2))
+    return rounded(flow.rapid_chains(event_ledger(spark, sf_dir), ["method_name"], least=2).drop("addresses"))
 
 
 @query()
 def p6_layered_sequences(spark, sf_dir):
     tx = event_ledger(spark, sf_dir).withColumn("cluster_id", F.concat(F.lit("h"), (F.col("hour_of_day") % 4).cast("string")))
-    return rounded(flow.layers(tx))
+    return rounded(flow.layers(tx).drop("addresses"))
 
 
 @query(f"WITH {TX}, c AS (SELECT timestamp // 3600 AS hour, count(*) AS n FROM tx GROUP BY 1), s AS (SELECT unnest(range((SELECT min(hour) FROM c), (SELECT max(hour) FROM c) + 1)) AS hour), h AS (SELECT hour, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (hour)), m AS (SELECT count(*) AS hours, avg(n) AS mean_per_hour, stddev_samp(n) AS std_per_hour FROM h) "

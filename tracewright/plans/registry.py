@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bridges, clusters, coordination, features, graph, learning, profiles, relational, reports, typology  # noqa: F401  modules register their queries when they are read
+from . import bridges, clusters, coordination, features, graph, ingest, learning, profiles, relational, reports, suspicion, typology  # noqa: F401  modules register their queries when they are read
 from .catalog import QUERIES, SQL
 
 

@@ -9,6 +9,7 @@ from ..operators import sequences as S
 from ..operators.incidence import incidence
 from ..sources.ledger import INCIDENCE, TX, event_ledger
 from .catalog import outer, query, rounded
+from .features import F5, F5_COLUMNS, GAPS
 
 WITH = f"WITH {TX}, {INCIDENCE}"
 
@@ -25,12 +26,24 @@ def q2_frequent_ngrams(spark, sf_dir):
     return rounded(S.ngrams(incidence(event_ledger(spark, sf_dir)), "method_name"))
 
 
-@query()
+Q5 = """SELECT address, ((gaps > 5 AND cv < 0.1)::INT + (n > 5 AND prices <= 3)::INT + (n > 5 AND vals <= 0.3 * n)::INT + (n > 5 AND h < 1)::INT + (n > 5 AND gas_cv < 0.1)::INT + (minute > 0.3)::INT + (rapid > 0.2 * n)::INT + (abs(weekend - 2 / 7) < 0.1 AND abs(night - 8 / 24) < 0.1)::INT) / 8 AS automation_score,
+ ((n > 5 AND price_cv > 0.5)::INT + (gaps > 5 AND cv > 0.3 AND cv < 2)::INT) / 5 AS evasion_score
+ FROM (SELECT address, count(*) AS n, count(gap) AS gaps, coalesce(stddev_samp(gap) / nullif(avg(gap), 0), 99) AS cv, count(DISTINCT gas_price) AS prices, count(DISTINCT value_eth) AS vals, coalesce(stddev_samp(gas) / nullif(avg(gas), 0), 99) AS gas_cv, coalesce(stddev_samp(gas_price_gwei) / nullif(avg(gas_price_gwei), 0), 0) AS price_cv,
+  avg((timestamp % 60 = 0)::INT) AS minute, count(*) FILTER (gap < 60) AS rapid, avg((day_of_week >= 5)::INT) AS weekend, avg((hour_of_day >= 22 OR hour_of_day < 6)::INT) AS night
+  FROM (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY address ORDER BY timestamp, hash) AS gap FROM inc) GROUP BY 1 HAVING count(*) >= 10)
+ JOIN (SELECT address, ln(sum(k)) - sum(k * ln(k)) / sum(k) AS h FROM (SELECT address, method_name, count(*) AS k FROM inc GROUP BY ALL) GROUP BY 1) USING (address)"""
+
+
+@query(f"{WITH} " + outer(Q5, "address ~automation_score ~evasion_score"))
 def q5_automation_scores(spark, sf_dir):
     return rounded(S.automation(incidence(event_ledger(spark, sf_dir))))
 
 
-@query()
+RISKS = [c.strip("~") for c in F5_COLUMNS.split()[1:]]
+A4 = " UNION ALL ".join(f"SELECT address, '{c}' AS feature, round(coalesce(abs(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0)), 0), 9) AS z FROM f5" for c in RISKS)
+
+
+@query(f"{WITH}, {GAPS}, f5 AS ({F5}), zs AS ({A4}), zt AS (SELECT address, arg_max(feature, (z, feature)) AS feature, max(z) AS z FROM zs GROUP BY 1) " + outer("SELECT address, feature, z AS z_score, least(1, z / 10) AS score, least(1, z / 3) AS confidence FROM zt WHERE z > 3", "address feature ~z_score ~score ~confidence"))
 def a4_statistical_anomalies(spark, sf_dir):
     return rounded(S.anomalies(O.risk(incidence(event_ledger(spark, sf_dir)))))
 
