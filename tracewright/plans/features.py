@@ -128,7 +128,11 @@ def f8_feature_matrix(spark, sf_dir):
 
 @query()
 def f10_feature_validation(spark, sf_dir):
-    return O.validation(O.matrix(event_ledger(spark, sf_dir)), 96)
+    """All seven families, the network family included."""
+    from ..operators.graph import network_features
+
+    tx = event_ledger(spark, sf_dir)
+    return O.validation(O.matrix(tx, network_features(tx)), 111)
 
 
 COMPONENT = "SELECT address, 'foundation_risk' AS component_type, composite_risk_score AS risk_score, 0.85::DOUBLE AS confidence FROM f5"
