@@ -17,3 +17,30 @@ def test_peeling_takes_a_second_as_one_step(spark, monkeypatch):
         data += [(f"0xn{k}{i}", at + 100 * k + 9, "0xeven", "0xd3", v, 21000) for i, v in enumerate([0.1, 0.2, 0.3])]
     given(spark, monkeypatch, graph, data)
     assert [tuple(r) for r in QUERIES["o10_peeling_chains"](spark, "").collect()] == [("0xpeel", 3, 27.0)]
+
+
+def crowd(n=60, seed=3):
+    """Two hubs that pay and are paid by a crowd, and a few transfers within it."""
+    rng = random.Random(seed)
+    names = [f"0xu{k:03}" for k in range(n)]
+    pairs = [("0xh0", x) for x in names[: n - 5]] + [("0xh1", x) for x in names[n // 2 :]] + [(x, "0xh0") for x in names[::2]] + [(x, "0xh1") for x in names[1::2]]
+    pairs += [(rng.choice(names), rng.choice(names[:6])) for _ in range(40)] + [("0xh0", "0xh1"), ("0xq", names[0]), (names[3], names[3])]
+    return [(f"0x{i}", i, a, b, 1.0 + i % 3, 21000) for i, (a, b) in enumerate(pairs)]
+
+
+def test_closeness_searches_once_for_nodes_with_the_same_ones_before_them(spark, monkeypatch):
+    data = crowd()
+    given(spark, monkeypatch, graph, data)
+    found, plain = [], graph.graph.distances
+    monkeypatch.setattr(graph.graph, "distances", lambda *a, **k: found.append(plain(*a, **k)) or found[-1])
+    got = {r["node"]: r["closeness_centrality"] for r in QUERIES["f3_closeness"](spark, "").collect()}
+    names = sorted({x for r in data for x in r[2:4]})
+    before = {x: {r[2] for r in data if r[3] == x and r[2] != x} for x in names}
+    for x in names:
+        far, front, k = {x: 0}, {x}, 0
+        while front:
+            k, front = k + 1, {y for z in front for y in before[z]} - set(far)
+            far.update(dict.fromkeys(front, k))
+        total = sum(far.values())
+        assert got[x] == (round((len(far) - 1) / total * (len(far) - 1) / (len(names) - 1), 6) if total else 0.0)
+    assert set(got) == set(names) and found[0].count() < len(names) ** 2 / 3
