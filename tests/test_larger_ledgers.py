@@ -1,10 +1,13 @@
 """What shows only on larger ledgers: ties, hubs and crowds, by brute force on small ones."""
 
 import random
+import time
 
+from pyspark.sql import functions as F
 from test_whole_results import QUERIES, given
 
-from tracewright.plans import graph
+from tracewright.operators import incidence
+from tracewright.plans import graph, typology
 
 
 def test_peeling_takes_a_second_as_one_step(spark, monkeypatch):
@@ -44,3 +47,31 @@ def test_closeness_searches_once_for_nodes_with_the_same_ones_before_them(spark,
         total = sum(far.values())
         assert got[x] == (round((len(far) - 1) / total * (len(far) - 1) / (len(names) - 1), 6) if total else 0.0)
     assert set(got) == set(names) and found[0].count() < len(names) ** 2 / 3
+
+
+def test_band_join_steps_over_runs_and_pairs_nothing(spark, monkeypatch):
+    monkeypatch.setattr(incidence, "SPAN", 8)
+    rng, at = random.Random(8), 1_700_000_000
+    # long stretches of one pair, which both its ends must step over; a few others; hashes that come twice
+    data = [(f"0x{i}", at + i // 2 * 20, *rng.choice([("0xh", "0xg"), ("0xg", "0xh"), ("0xh", "0xh")]), 1.0, 0) for i in range(90)]
+    data += [(f"0xo{i}", at + rng.randrange(900), f"0xu{rng.randrange(4)}", rng.choice(["0xh", "0xu1", "0xg"]), rng.choice([1.0, 10.0]), 0) for i in range(25)]
+    data += [("0x5", at + 31, "0xu1", "0xu2", 1.0, 0), ("0x6", at + 700, "0xh", None, 1.0, 0), ("0xn", at + 5, None, "0xu3", 1.0, 0), ("0xz", at + 7, "0xu7", None, 1.0, 0), (None, at + 9, "0xu8", "0xu9", 1.0, 0)]
+    given(spark, monkeypatch, typology, data)
+    for width in (1, 60, 300, 5000):
+        expected = {}
+        for h, t, a, _, v, _ in data:
+            far = [abs(t - t2) for h2, t2, f, d, v2, _ in data if None not in (h, h2, a, f, d) and v == v2 and abs(t - t2) <= width and a not in (f, d) and h != h2]
+            if far:
+                n, m = expected.get(h, (0, 0))
+                expected[h] = n + len(far), max(m, *far)
+        df = incidence.band_matches(typology.event_ledger(spark, ""), width)
+        assert {r["hash"]: (r["matches"], r["farthest"]) for r in df.collect()} == expected
+        assert {r["hash"]: r["matches"] for r in incidence.band_matches(typology.event_ledger(spark, ""), width, farthest=False).collect()} == {h: n for h, (n, _) in expected.items()}
+
+
+def test_band_join_of_a_crowd_moves_no_pairs(spark):
+    n = 20000  # all within one window: 4 * 10 ** 8 pairs
+    tx = spark.range(n).selectExpr("concat('0x', id) as hash", "1700000000 + id as timestamp", "concat('0xa', id) as from_addr", "concat('0xb', id) as to_addr", "1.0D as value_eth")
+    started = time.monotonic()
+    assert incidence.band_matches(tx).agg(F.sum("matches"), F.min("farthest"), F.max("farthest")).first()[:] == (n * (n - 1), n // 2, n - 1)
+    assert time.monotonic() - started < 30

@@ -18,7 +18,7 @@ def link_graph(tx: DataFrame, excluded: DataFrame | None = None, width: int = 25
 
     ``excluded``: addresses (exchanges, protocols, busy ones) that take no part.
     """
-    rows = tx.where("from_addr is not null and to_addr is not null and from_addr <> to_addr").join(band_matches(tx, width).select("hash"), "hash", "left_semi")
+    rows = tx.where("from_addr is not null and to_addr is not null and from_addr <> to_addr").join(band_matches(tx, width, farthest=False).select("hash"), "hash", "left_semi")
     pairs = rows.groupBy(F.least("from_addr", "to_addr").alias("u"), F.greatest("from_addr", "to_addr").alias("v")).agg(F.count("*").alias("n_tx"))
     if excluded is not None:
         for end in ("u", "v"):
