@@ -104,3 +104,21 @@ def test_two_steps_and_cycles_make_no_rows_for_each_pair_around_a_hub(spark, mon
     monkeypatch.setattr(graph, "event_ledger", lambda spark, sf_dir: tx)
     assert QUERIES["f3_reach_two_hops"](spark, "").agg(F.count("*"), F.min("reach_2hop"), F.max("reach_2hop")).first()[:] == (n + 1, n, n)
     assert QUERIES["l12_cycles"](spark, "").count() == 0
+
+
+def test_coactivity_by_blocks(spark, monkeypatch):
+    for name, size in (("BLOCK_ROWS", 60), ("BLOCK_ADDRESSES", 3), ("BLOCK_HOURS", 5)):
+        monkeypatch.setattr(incidence, name, size)
+    rng, at = random.Random(11), 1_700_000_000
+    data = [(f"0x{i}", at + rng.randrange(200_000) // 50 * 50, f"0xu{i % 12}" if i % 3 else "0xhub", f"0xu{rng.randrange(12)}", 1.0, 0) for i in range(260)]
+    own = {}
+    for h, t, a, b, _, _ in data:
+        for x in {a, b}:
+            own.setdefault(x, []).append(t)
+    share = {(a, b): sum(any(abs(t - u) <= 3600 for u in y) for t in x) / len(x) for a, x in own.items() for b, y in own.items() if a != b}
+    given(spark, monkeypatch, typology, data)
+    df = incidence.coactivity(typology.event_ledger(spark, ""), above=0.55)
+    got = {(r["a"], r["b"]): r["coactivity"] for r in df.collect()}
+    assert got == {k: v for k, v in share.items() if v > 0.55} and 5 < len(got) < len(share)
+    # pairs of rows near each other in time are not joined: the plan has no buckets of time
+    assert "bucket" not in df._jdf.queryExecution().toString()
