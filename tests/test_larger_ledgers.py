@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_whole_results import QUERIES, given
 
+from tracewright.operators import coordination as K
 from tracewright.operators import incidence
 from tracewright.plans import coordination, graph, typology
 
@@ -122,3 +123,36 @@ def test_coactivity_by_blocks(spark, monkeypatch):
     assert got == {k: v for k, v in share.items() if v > 0.55} and 5 < len(got) < len(share)
     # pairs of rows near each other in time are not joined: the plan has no buckets of time
     assert "bucket" not in df._jdf.queryExecution().toString()
+
+
+def mixer_use(spark, n=300, users=25):
+    rng, at = random.Random(6), 1_700_000_000
+    rows = [(f"0xu{min(rng.randrange(users), rng.randrange(users)):02}", f"0xmix{rng.randrange(5)}", f"0x{i // 2 * 2 if i % 40 == 1 else i}", at + rng.randrange(90_000), rng.choice([0.0, 0.1, 1.0, 10.0]), rng.random() < 0.5) for i in range(n)]
+    rows += [("0xone", "0xmix0", "0xa", at + 500, 1.0, True), ("0xtwo", "0xmix0", "0xb", None, 1.0, True), ("0xnull", "0xmix0", "0xc", at + 500, None, False)]
+    return spark.createDataFrame(rows, "address string, contract string, hash string, timestamp long, value_eth double, deposit boolean")
+
+
+def test_coordination_by_blocks_loses_no_link(spark, monkeypatch):
+    rows = mixer_use(spark)
+    profiles, sets = ({r["address"]: r[1] for r in df.collect()} for df in (K.volume_profile(rows), K.mixer_sets(rows)))
+    use = {}
+    for r in rows.collect():
+        use.setdefault(r["address"], []).append(r)
+    like = lambda x, y: None if None in x + y else sum((max(0, 1 - abs(p - q) / abs(p)) if p else float(q == 0)) for p, q in zip(x, y)) / 5
+    parts = {}
+    for a, x in use.items():
+        for b, y in use.items():
+            near = {r["hash"] for r in x for q in y if a != b and None not in (r["timestamp"], q["timestamp"]) and r["contract"] == q["contract"] and abs(r["timestamp"] - q["timestamp"]) <= 3600}
+            v = like(list(profiles[a]), list(profiles[b]))
+            if near and v is not None:
+                parts[a, b] = (len(near) / len(x), len(set(sets[a]) & set(sets[b])) / len({*sets[a], *sets[b]}), v)
+    pairs = spark.createDataFrame([*parts], "a string, b string")
+    runs = {(r["a"], r["b"]): r["sequence"] for r in K.sequence_likeness(rows, pairs).collect()}
+    every = {k: round(0.4 * t + 0.25 * j + 0.2 * v + 0.15 * runs[k], 9) for k, (t, j, v) in parts.items()}
+    bar = sorted(every.values())[-20] - 1e-6
+    monkeypatch.setattr(K, "BLOCK_ROWS", 80)
+    monkeypatch.setattr(K, "BLOCK_ADDRESSES", 3)
+    got = {(r["a"], r["b"]): round(r["score"], 9) for r in K.coordination(rows, least=bar).collect()}
+    assert got == {k: s for k, s in every.items() if s >= bar} and 5 < len(got) < len(every) / 2
+    # of the pairs that the full weight of sequences could lift, the bound leaves some out
+    assert K.likely(rows, 3600, bar).count() < sum(0.4 * t + 0.25 * j + 0.2 * v + 0.15 >= bar for t, j, v in parts.values())
