@@ -156,3 +156,17 @@ def test_coordination_by_blocks_loses_no_link(spark, monkeypatch):
     assert got == {k: s for k, s in every.items() if s >= bar} and 5 < len(got) < len(every) / 2
     # of the pairs that the full weight of sequences could lift, the bound leaves some out
     assert K.likely(rows, 3600, bar).count() < sum(0.4 * t + 0.25 * j + 0.2 * v + 0.15 >= bar for t, j, v in parts.values())
+
+
+def test_sequences_are_compared_where_pairs_are_made(spark, monkeypatch):
+    monkeypatch.setattr(K, "RUNS", 64)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 80)
+    rows = mixer_use(spark).withColumn("deposit", F.when(F.col("timestamp") % 9 > 0, F.col("deposit")))
+    p = K.likely(rows, 3600, 0.2)
+    got = {(r["a"], r["b"]): r["sequence"] for r in p.collect()}
+    want = {(r["a"], r["b"]): r["sequence"] for r in K.sequence_likeness(rows, p.select("a", "b")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items()) and sum(s > 0 for s in got.values()) > 20
+    # pairs are not joined with the runs of their addresses
+    joined, plain = [], K.windows
+    monkeypatch.setattr(K, "windows", lambda rows: joined.append(1) or plain(rows))
+    assert K.coordination(rows, least=0.2).count() > 0 and not joined
