@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_whole_results import QUERIES, given
 
 from tracewright.operators import coordination as K
-from tracewright.operators import incidence
+from tracewright.operators import fingerprints, incidence, meeting, mixers
 from tracewright.plans import coordination, graph, typology
 
 
@@ -158,6 +160,46 @@ def test_coordination_by_blocks_loses_no_link(spark, monkeypatch):
     assert K.likely(rows, 3600, bar).count() < sum(0.4 * t + 0.25 * j + 0.2 * v + 0.15 >= bar for t, j, v in parts.values())
 
 
+def brute_meetings(rows, width=3600):
+    """Addresses' rows, and (a, b) -> differences in time of rows that met."""
+    use = {}
+    for r in rows.collect():
+        use.setdefault(r["address"], []).append(r)
+    met = {}
+    for a, x in use.items():
+        for b, y in use.items():
+            near = [(r["hash"], abs(r["timestamp"] - q["timestamp"])) for r in x for q in y if a != b and None not in (r["timestamp"], q["timestamp"]) and r["contract"] == q["contract"] and abs(r["timestamp"] - q["timestamp"]) <= width]
+            if near:
+                met[a, b] = near
+    return use, met
+
+
+@pytest.fixture(params=[1 << 20, 40, 4])
+def small_blocks(request, monkeypatch):
+    """Few meetings by their own places, and many in a table; several blocks and pieces."""
+    for name, size in (("BLOCK_ROWS", 80), ("CELLS", request.param), ("MEETINGS", 30), ("SENT", 7)):
+        monkeypatch.setattr(meeting, name, size)
+
+
+def no_join_by_time(df):
+    return "bucket" not in df._jdf.queryExecution().toString()
+
+
+def test_temporal_share_in_blocks(spark, small_blocks):
+    rows = mixer_use(spark)
+    use, met = brute_meetings(rows)
+    df = K.meetings(rows)
+    assert {(r["a"], r["b"]): r["temporal"] for r in df.collect()} == {(a, b): len({h for h, _ in near}) / len(use[a]) for (a, b), near in met.items()}
+    assert no_join_by_time(df)
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(4)
+    x = [0.0, 1.0, 0.1234565, 0.1234575, 2.0000005, 1.0000015, 123456.1234565, 0.9999995, -0.1234565, 5e-7, 1e12 + 0.3] + [rng.randrange(10**7) / 2e6 / 10 for _ in range(500)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert meeting.half_up(np.array(x), 6).tolist() == want
+
+
 def test_sequences_are_compared_where_pairs_are_made(spark, monkeypatch):
     monkeypatch.setattr(K, "RUNS", 64)
     monkeypatch.setattr(K, "BLOCK_ROWS", 80)
