@@ -193,6 +193,16 @@ def test_temporal_share_in_blocks(spark, small_blocks):
     assert no_join_by_time(df)
 
 
+def test_volume_likeness_in_blocks(spark, small_blocks):
+    rows = mixer_use(spark)
+    _, met = brute_meetings(rows)
+    side = lambda c, p: K.volume_profile(rows).select(F.col("address").alias(c), F.col("profile").alias(p))
+    every = side("a", "x").crossJoin(side("b", "y")).select("a", "b", F.round(K.volume_likeness(F.col("x"), F.col("y")), 6).alias("v")).collect()
+    df = K.met_volumes(rows, digits=6)
+    assert {(r["a"], r["b"]): r["volume"] for r in df.collect()} == {(r["a"], r["b"]): r["v"] for r in every if (r["a"], r["b"]) in met}
+    assert no_join_by_time(df)
+
+
 def test_rounding_is_that_of_spark(spark):
     rng = random.Random(4)
     x = [0.0, 1.0, 0.1234565, 0.1234575, 2.0000005, 1.0000015, 123456.1234565, 0.9999995, -0.1234565, 5e-7, 1e12 + 0.3] + [rng.randrange(10**7) / 2e6 / 10 for _ in range(500)]
