@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 from test_whole_results import QUERIES, given
 
 from tracewright.operators import coordination as K
@@ -276,3 +277,30 @@ def test_sequences_are_compared_where_pairs_are_made(spark, monkeypatch):
     joined, plain = [], K.windows
     monkeypatch.setattr(K, "windows", lambda rows: joined.append(1) or plain(rows))
     assert K.coordination(rows, least=0.2).count() > 0 and not joined
+
+
+def test_rounds_of_ranks_take_two_actions(spark, monkeypatch):
+    names = [f"0x{k}" for k in range(9)]
+    rng = random.Random(1)
+    e = spark.createDataFrame([(rng.choice(names[:7]), rng.choice(names), rng.random()) for _ in range(40)], "src string, dst string, weight double")
+    saved, taken = [], []
+    plain, first = graph.graph.cut, DataFrame.first
+    monkeypatch.setattr(graph.graph, "cut", lambda df: saved.append(1) or plain(df))
+    monkeypatch.setattr(DataFrame, "first", lambda df: taken.append(1) or first(df))
+    out = graph.graph.hits(e, 5)
+    assert (len(saved), len(taken)) == (2 + 5 + 1, 5 + 1)
+    assert all(abs(x - 1) < 1e-9 for x in out.agg(F.sum("hub_score"), F.sum("authority_score")).collect()[0])
+    saved.clear(), taken.clear()
+    rank = {r["node"]: r["pagerank_score"] for r in graph.graph.pagerank(e).collect()}
+    assert len(taken) == len(saved) - 1  # a round is saved and added up once
+    w = {}
+    for r in e.collect():
+        w.setdefault(r["src"], {}).setdefault(r["dst"], []).append(r["weight"])
+    want = dict.fromkeys(rank, 1 / len(rank))
+    for _ in range(300):
+        got = dict.fromkeys(rank, sum(want[x] for x in rank if x not in w) / len(rank))
+        for x, to in w.items():
+            for y, v in to.items():
+                got[y] += want[x] * sum(v) / sum(map(sum, to.values()))
+        want = {x: 0.15 / len(rank) + 0.85 * v for x, v in got.items()}
+    assert all(abs(rank[x] - v) < 1e-7 for x, v in want.items()) and len(rank) > len(w)
