@@ -279,6 +279,18 @@ def test_sequences_are_compared_where_pairs_are_made(spark, monkeypatch):
     assert K.coordination(rows, least=0.2).count() > 0 and not joined
 
 
+def test_rows_are_packed_before_they_are_sent_to_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(meeting, "BLOCK_ROWS", 2000)
+    rows = mixer_use(spark, 6000)
+    sent, plain = [], meeting.visits
+    monkeypatch.setattr(meeting, "visits", lambda *a: sent.append(plain(*a)) or sent[-1])
+    K.met_volumes(rows), K.meetings(rows)
+    volumes, shares = ([(r["i"], r["j"]) for r in df.collect()] for df in sent)
+    assert max(len(volumes), len(shares)) < rows.count() / 4
+    # pairs that are only judged by their facts are made once for both directions
+    assert all(i <= j for i, j in volumes) and len(set(volumes)) == 10 and len(set(shares)) == 16
+
+
 def test_rounds_of_ranks_take_two_actions(spark, monkeypatch):
     names = [f"0x{k}" for k in range(9)]
     rng = random.Random(1)
