@@ -84,6 +84,18 @@ def test_band_join_of_a_crowd_moves_no_pairs(spark, monkeypatch):
     assert paired == [0, 0, 0]
 
 
+def test_band_join_goes_over_a_run_once(spark, monkeypatch):
+    at, n = 1_700_000_000, 30_000  # one sender in every second but those of two others, so its runs are long
+    tx = spark.range(n).selectExpr("concat('0x', id) as hash", f"{at} + id as timestamp", f"if(id in (0, {n - 1}), concat('0xa', id), '0xh') as from_addr", "'0xg' as to_addr", "1.0D as value_eth")
+    runs, plain = [], incidence._runs
+    monkeypatch.setattr(incidence, "_runs", lambda *a: runs.append(plain(*a)) or runs[-1])
+    df = incidence.band_matches(tx)
+    # of a hub's row only the two others match, of theirs all but themselves
+    assert df.agg(F.count("*"), F.sum("matches"), F.min("farthest"), F.max("farthest")).first()[:] == (n, 2 * (n - 2) + 2 * (n - 1), n // 2, n - 1)
+    # no window is gone over again for each of its rows
+    assert len(runs) == 2 and not any("unboundedfollowing" in r._jdf.queryExecution().toString().lower() for r in runs)
+
+
 def test_two_steps_and_cycles_around_hubs(spark, monkeypatch):
     monkeypatch.setattr(graph.graph, "HUB_EDGES", 20)
     data = crowd()
